@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from .decontamination import op6_decontamination
 from .mixing import op4_mixing
+from .token_counts import op2_token_counts
 
-QUERIES = {"op4_mixing": op4_mixing}
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_mixing": op4_mixing,
+    "op6_decontamination": op6_decontamination,
+}
 ORACLES: dict[str, str] = {}
