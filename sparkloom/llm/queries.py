@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .decontamination import op6_decontamination
+from .license_scan import op9_license_scan
+from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
+from .sharding import op1_sharding
 from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op9_license_scan": op9_license_scan,
 }
 ORACLES: dict[str, str] = {}
