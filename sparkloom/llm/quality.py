@@ -256,9 +256,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     rows = s.mapInArrow(picked, "doc_id long, at array<int>, dense array<double>, looks array<double>, meta array<float>, junk int, toxic int")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    numbers = np.array([r.looks for r in rows]) if rows else np.zeros((0, len(looks("", [], 0))))
-    center = numbers.mean(0) if len(rows) else np.zeros(numbers.shape[1])
-    model = Model(vocabulary, center, np.maximum(numbers.std(0), 1e-3) if len(rows) else np.ones(numbers.shape[1]))
+    if not rows:
+        return Model([], np.zeros(len(looks("", [], 0))), np.ones(len(looks("", [], 0))))
+    numbers = np.array([r.looks for r in rows])
+    model = Model(vocabulary, numbers.mean(0), np.maximum(numbers.std(0), 1e-3))
     text = np.zeros((len(rows), len(vocabulary) + numbers.shape[1]), np.float32)
     for i, r in enumerate(rows):
         text[i, r["at"]] = r.dense
