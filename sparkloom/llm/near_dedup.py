@@ -7,9 +7,12 @@
 3. Documents that share a band's bucket are candidates. A bucket's hub is its least node. Pairs of a node with its
    hubs are compared on their whole texts, first each node with the hub that it shares most buckets with, then, for
    those that are still in different classes, with its other hubs. Each round ends in connected components.
-4. A bucket whose members are then still in several classes has all its members of different classes compared by
-   sketch, in blocks of bounded size; pairs that may reach the threshold are compared on their texts. So every pair
-   that shares a bucket is linked, or in one class already, or known to be dissimilar.
+4. A bucket whose members are then still in several classes has all its members of different classes compared in
+   blocks of bounded size, by sketch and, where that may reach the threshold, by their whole shingle sets, which travel
+   with the members. A pair is compared in the first bucket that it shares. A block sends on only links, and none
+   between members that its links join already, so a dense group of n members sends on at most n for each block, and
+   a loose one nothing. So every pair that shares a bucket is linked, or in one class already, or known to be
+   dissimilar.
 
 A link is a weighted or a plain Jaccard similarity of five-word shingles of at least 0.8. With 32 bands of 4
 coordinates a pair of that similarity shares no bucket with probability 5e-8.
@@ -31,9 +34,11 @@ from .token_counts import sliced
 
 THRESHOLD = 0.8
 #: Documents signed at once; members compared with a hub in one group; members of a block.
-SIGNED, GROUP, BLOCK = 1500, 64, 128
+SIGNED, GROUP, BLOCK = 1500, 64, 256
 #: Sketches of a pair at the threshold agree in 102 of 128 coordinates on average, with a deviation of 4.5.
 AGREE = 72
+#: Half the width of the band around the threshold in which 32 bits of a shingle's hash don't decide.
+DOUBT = 0.005
 
 
 def _signed(rows: DataFrame) -> DataFrame:
@@ -136,28 +141,80 @@ def _with_roots(rows: DataFrame, column: str, roots: DataFrame, into: str) -> Da
     return rows.join(r, column, "left").withColumn(into, F.coalesce(into, column))
 
 
-def _blocks(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, node, hub) of a bucket in different classes whose sketches agree enough."""
-    m = stored(_with_roots(members.select("key", "node"), "node", roots, "root"), "near-open")
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of texts (node, text): 32 bits of each distinct shingle's hash, in order, and its count."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for texts_ in sliced(b.column(1)):
+                own = []
+                for s, c, _ in M.shingles(texts_):
+                    high, first = np.unique((s >> np.uint64(32)).astype(np.uint32), return_index=True)
+                    own.append(high.tobytes() + np.minimum(c[first], 65535).astype(np.uint16).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts_)), pa.array(own, pa.binary())], names=["node", "shingles"])
+                at += len(texts_)
+
+    return texts.select("node", "text").mapInArrow(pack, "node long, shingles binary")
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 6
+    return np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, 4 * n)
+
+
+def _links_in_block(key: int, part: tuple[int, int], rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Links between members (part, node, hub, root, sketch, bands, shingles) of a bucket's two parts (or of one)."""
+    parts, node, hub, root, sketch, bands, shingles = zip(*rows, strict=True)
+    parts, node = np.array(parts), np.array(node, np.int64)
+    marks, keys = np.stack([np.frombuffer(s, np.uint16) for s in sketch]), np.array(bands, np.int64)
+    sets = [_unpacked(s) for s in shingles]
+    up = {r: r for r in root}
+
+    def find(r: int) -> int:
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    left, right = np.flatnonzero(parts == part[0]), np.flatnonzero(parts == part[1])
+    out = []
+    for x in left:
+        # The hub has been compared with all members.
+        near = right[(node[right] > node[x]) | (part[0] != part[1])]
+        near = near[(node[near] != hub[0]) & (node[x] != hub[0])]
+        near = near[(marks[near] == marks[x]).sum(1) >= AGREE]
+        if not len(near):
+            continue
+        shared = keys[near] == keys[x]
+        near = near[keys[near, shared.argmax(1)] == key]  # in their first bucket
+        for y in near.tolist():
+            a, b = find(root[x]), find(root[y])
+            if a != b and (like := max(M.similarity(sets[x], sets[y]))) >= threshold - DOUBT:
+                out.append((max(int(node[x]), int(node[y])), min(int(node[x]), int(node[y]))))
+                if like >= threshold + DOUBT:
+                    up[max(a, b)] = min(a, b)
+    return out
+
+
+def _blocks(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members (key, node, hub) of a bucket in different classes that are, or may just be, links."""
+    m = stored(_with_roots(members.select("key", "node", "hub"), "node", roots, "root"), "near-open")
     mixed = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi AND n > 2")
-    m = m.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "key").join(nodes.select("node", "sketch"), "node")
-    m = m.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    m = m.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "key")
+    m = stored(m.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "near-mixed")
+    open_ = m.select("node").distinct()
+    sets = stored(_sets(texts.join(open_, "node", "left_semi")), "near-sets")
+    whole = nodes.join(open_, "node", "left_semi").join(sets, "node")
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "sketch")
+    m = m.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "hub", "root").join(whole, "node")
+    m = m.select("key", "i", "j", "part", "node", "hub", "root", "sketch", "bands", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), rows in _grouped_rows(batches, 3):
-            part, node, root, sketch = zip(*rows, strict=True)
-            part, node, root = np.array(part), np.array(node, np.int64), np.array(root, np.int64)
-            marks = np.stack([np.frombuffer(s, np.uint16) for s in sketch])
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            for x in left:
-                near = right[(root[right] != root[x]) & (node[right] != node[x])]
-                near = near[(marks[near] == marks[x]).sum(1) >= AGREE]
-                if i == j:
-                    near = near[node[near] > node[x]]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[near], node[x])), pa.array(np.minimum(node[near], node[x]))], names=["a", "b"])
+        for (key, i, j), rows in _grouped_rows(batches, 3):
+            found = _links_in_block(key, (i, j), rows, threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
@@ -198,8 +255,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     more = stored(verify(stored(others, "near-others"), texts, threshold), "near-links")
     star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
     roots = components(star.unionByName(more))
-    rest = _blocks(members, roots, nodes).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(verify(stored(rest, "near-rest"), texts, threshold), "near-links")
+    rest = stored(_blocks(members, roots, nodes, texts, threshold), "near-rest")
+    more = stored(verify(rest, texts, threshold), "near-links")
     star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
     roots = components(star.unionByName(more))
 

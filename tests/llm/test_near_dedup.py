@@ -110,7 +110,7 @@ def test_classes_match_brute_force(spark):
 
 
 def test_blocks_reach_pairs_that_share_no_hub(spark, monkeypatch):
-    """With one band of one coordinate most pairs meet only as members of a bucket; blocks must find their links."""
+    """Two groups whose members are near each other, not the hub; small blocks must find all of their links."""
     monkeypatch.setattr(N, "BLOCK", 5)
     texts = corpus(9)
     base = texts[0:1]
