@@ -1,7 +1,7 @@
 """A base graph with per-worktree overlays of whole files.
 
 An overlay is an append-only log: rows (worktree_id, owner_file, seq, deleted), and nodes and edges with the same
-worktree_id, owner_file and seq. The latest entry of a file wins; composing replaces the base slice of every file that
+worktree_id, owner_file and seq. The latest entry of a file wins (deleted null: the file is as in the base again); composing replaces the base slice of every file that
 the log names by that entry's slice (nothing, if it is deleted). All of it is anti-joins, unions and one aggregate.
 """
 
@@ -25,8 +25,9 @@ class Overlay:
     edges: DataFrame  # schema EDGE, worktree_id, seq
 
     def latest(self) -> DataFrame:
-        """(worktree_id, owner_file, seq, deleted): the last entry of each file."""
-        return self.files.groupBy("worktree_id", "owner_file").agg(F.max("seq").alias("seq"), F.max_by("deleted", "seq").alias("deleted"))
+        """(worktree_id, owner_file, seq, deleted): the last entry of each file that the overlay covers."""
+        last = self.files.groupBy("worktree_id", "owner_file").agg(F.max("seq").alias("seq"), F.max_by("deleted", "seq").alias("deleted"))
+        return last.where("deleted IS NOT NULL")
 
     def of(self, worktree: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Latest entries, nodes and edges of one worktree."""
@@ -66,13 +67,16 @@ def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("owner_file").distinct(), "owner_file", "left_anti").select(*rows.columns)
 
 
-def compose(base: CodeGraph, overlay: Overlay, worktree: str, drop_inbound: bool = False) -> CodeGraph:
-    """The worktree's graph. Base edges stay if both ends exist afterwards, also into a replaced file (drop_inbound
+def compose(base: CodeGraph, overlay: Overlay, worktree: str, drop_inbound: bool = False, slices: bool = False) -> CodeGraph:
+    """The worktree's graph. With `slices` it is just the union of the files' slices: every edge of a slice stays, also
+    without its ends, and no node is made up. Else base edges stay if both ends exist afterwards, also into a replaced file (drop_inbound
     removes those, as if edges were tested before the overlay's nodes are there); ends that only overlay edges have
     become external nodes."""
     last, nodes, edges = overlay.of(worktree)
     kept = without_files(base.nodes, last)
     all_nodes = kept.join(nodes.select("id"), "id", "left_anti").select(*NODE.names).unionByName(nodes)
+    if slices:
+        return CodeGraph(all_nodes, without_files(base.edges, last).unionByName(edges).dropDuplicates(["src", "kind", "dst"]))
     all_nodes = all_nodes.unionByName(missing_ends(all_nodes, edges))
     old = between(without_files(base.edges, last), kept if drop_inbound else all_nodes)
     key = ["src", "kind", "dst"]

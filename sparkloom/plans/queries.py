@@ -605,6 +605,11 @@ def composed_edges(graph):
     return overlay.compose(graph, _overlay(graph), "wt-1").edges.select("src", "dst", "kind")
 
 
+@graph_query(V + "," + _OVERLAY + " SELECT src, dst, kind FROM owned WHERE owner NOT IN (SELECT path FROM ov) UNION SELECT src, dst, kind FROM ov_edges")
+def composed_slices(graph):
+    return overlay.compose(graph, _overlay(graph), "wt-1", slices=True).edges.select("src", "dst", "kind")
+
+
 @graph_query(V + "," + _OVERLAY + " SELECT id FROM stubs")
 def stub_externals(graph):
     _, nodes, edges = _overlay(graph).of("wt-1")

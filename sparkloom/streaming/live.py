@@ -89,11 +89,28 @@ class LiveOverlay:
         finally:
             texts.unpersist()
             todo.unpersist()
+        self._tell(worktree, changed)
+
+    def _tell(self, worktree: str, changed: list[str]) -> None:
         self.version += 1
         if changed:
             for on_change in list(self.listeners):
                 on_change(worktree, changed)
 
+    def seed(self, worktree: str, changed: DataFrame, batch_id: int) -> None:
+        """Fills the overlay from changed files (path, status): deleted ones are marked, the others analyzed; one that
+        can't be read counts as deleted."""
+        action = F.when(F.col("status") == "deleted", "remove").otherwise("analyze")
+        self._write(worktree, changed.select("path", action.alias("action")), batch_id, 0)
+
+    def refresh(self, worktree: str, changed: DataFrame, batch_id: int) -> None:
+        """Starts over: files that the overlay covers but that are no longer changed are as in the base again."""
+        covered = self.overlay().latest().where(F.col("worktree_id") == worktree).select("owner_file")
+        clear = covered.join(changed.select(F.col("path").alias("owner_file")), "owner_file", "left_anti")
+        rows = clear.select(F.lit(worktree).alias("worktree_id"), "owner_file", F.lit(batch_id).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("deleted"))
+        conform(rows, FILES).write.mode("overwrite").parquet(f"{self.folder}/files/batch={batch_id}-clear")
+        self.seed(worktree, changed, batch_id)
+
     def start(self, events: DataFrame, checkpoint: str, gap_ms: int = changes.DEBOUNCE_MS, late: str = "1 second") -> StreamingQuery:
         return closed_sessions(events, gap_ms, late).writeStream.outputMode("append").foreachBatch(self.apply).option("checkpointLocation", checkpoint).start()
 

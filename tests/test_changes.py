@@ -141,3 +141,67 @@ def test_stream_equals_batch(spark, tmp_path):
     g = overlay.compose(base, over.overlay(), "wt-1")
     assert sorted(r.id for r in g.nodes.collect()) == ["ext:x", "file:a.py", "file:k.py"]
     assert sorted((r.src, r.dst) for r in g.edges.collect()) == [("file:a.py", "ext:x"), ("file:k.py", "file:a.py")]
+
+
+def test_refresh_starts_over(spark, tmp_path):
+    def analyze(files):
+        nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.col("path").alias("name"), F.col("path").alias("owner_file"))
+        return conform(nodes, NODE), conform(nodes.select(F.col("id").alias("src"), F.lit("ext:new").alias("dst"), F.lit("import").alias("kind"), "owner_file"), EDGE)
+
+    read = lambda worktree, paths: paths.where("path <> 'lost'").select("path", F.lit("x").alias("text"))
+    over = live.LiveOverlay(spark, str(tmp_path / "log"), read, analyze)
+    changed = lambda rows: spark.createDataFrame(rows, "path string, status string")
+    over.seed("w", changed([("a", "changed"), ("b", "deleted"), ("lost", "added")]), 1)
+    state = lambda: {r.owner_file: r.deleted for r in over.overlay().latest().collect()}
+    assert state() == {"a": False, "b": True, "lost": True}
+    over.refresh("w", changed([("c", "added")]), 2)
+    assert state() == {"c": False}
+    from . import graphs as G
+
+    base = G.build(spark, G.files([("a", "b"), ("b", "z")]))
+    g = overlay.compose(base, over.overlay(), "w")
+    assert sorted(r.id for r in g.nodes.collect()) == ["ext:new", "file:a", "file:b", "file:c", "file:z"] and g.edges.count() == 3
+
+
+def test_tree_is_watched(spark, tmp_path):
+    import os
+    import time
+
+    from sparkloom.sources.watch import TreeChanges, difference, snapshot
+
+    root, state = tmp_path / "tree", tmp_path / "state"
+    (root / "node_modules").mkdir(parents=True)
+
+    def put(name, text):
+        (root / name).write_text(text)
+        old = time.time() - 5
+        os.utime(root / name, (old, old))
+
+    put("a.py", "1")
+    put("b.py", "1")
+    spark.dataSource.register(TreeChanges)
+    seen = []
+    stream = spark.readStream.format("tree_changes").option("root", str(root)).option("state", str(state)).load()
+    q = stream.writeStream.foreachBatch(lambda df, i: seen.extend((r.path, r.type) for r in df.orderBy("seq").collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+
+    def wait(n):
+        end = time.time() + 60
+        while len(seen) < n and time.time() < end:
+            q.processAllAvailable()
+            time.sleep(0.2)
+
+    try:
+        q.processAllAvailable()
+        put("a.py", "two")
+        put("c.py", "1")
+        put("node_modules/x.js", "1")
+        wait(2)
+        os.remove(root / "b.py")
+        wait(3)
+    finally:
+        q.stop()
+    assert sorted(seen) == [("a.py", "change"), ("b.py", "unlink"), ("c.py", "add")]
+    now = snapshot(str(root))
+    assert set(now) == {"a.py", "c.py"}
+    events, kept = difference({"c.py": [1, 1]}, {"a.py": [1, time.time_ns()], "c.py": [1, 1]}, time.time_ns())
+    assert events == [] and kept == {"c.py": [1, 1]}  # written just now
