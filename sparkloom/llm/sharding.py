@@ -6,7 +6,9 @@ leaves. A unit's coordinate is followed by bits of its hash, so that ties of a d
 
 Quantiles are found for all nodes of a level at once by radix histograms over the stored units: some bytes summed per
 node and bin (2,048 bins at most, so what the driver reads is bounded by the shards, not by the data), then again
-within the bin that holds the quantile. Groups beyond a hundredth of a shard, of which there can be at most a hundred
+within the bin that holds the quantile. What differs between passes - each node's dimension, bin and split - is a small
+broadcast table, so all passes share one compiled plan; units are written with their new node after each level. Groups
+beyond a hundredth of a shard, of which there can be at most a hundred
 for each shard, are placed first, largest to the emptiest shard; a group larger than nine tenths of a shard is dealt
 out in pieces. The tree then fills up what they leave.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
 SHARDS = 24
 LARGE, WHOLE, PIECE = 0.01, 0.9, 0.05
@@ -49,29 +51,6 @@ def _units(docs: DataFrame, doc_id: str, source: str, lang: str) -> DataFrame:
     )
 
 
-class Tree:
-    """Splits of leaf ranges: splits[(a, b)] = (dimension, key); units below the key go to the left half."""
-
-    def __init__(self, shards: int):
-        self.shards, self.splits = shards, {}
-
-    def nodes(self) -> list[tuple[int, int]]:
-        """Leaf ranges that the splits so far end in."""
-        out = [(0, self.shards)]
-        while any(n in self.splits for n in out):
-            out = [x for a, b in out for x in ([(a, (a + b) // 2), ((a + b) // 2, b)] if (a, b) in self.splits else [(a, b)])]
-        return out
-
-    def leaf(self, a: int = 0, b: int | None = None) -> F.Column:
-        """First leaf of the node that a unit is in."""
-        b = self.shards if b is None else b
-        if (a, b) not in self.splits:
-            return F.lit(a)
-        dim, key = self.splits[(a, b)]
-        mid = (a + b) // 2
-        return F.when(F.col(f"k{dim}") < F.lit(key), self.leaf(a, mid)).otherwise(self.leaf(mid, b))
-
-
 def place_large(pieces: list[tuple], shards: int) -> tuple[list[float], list[tuple]]:
     """Loads of the shards, and (*key, piece, shard) for each (*key, piece, bytes): largest first, to the least load."""
     load, where = [0.0] * shards, []
@@ -82,34 +61,37 @@ def place_large(pieces: list[tuple], shards: int) -> tuple[list[float], list[tup
     return load, where
 
 
-def _split_levels(units: DataFrame, tree: Tree, room: list[float], target: float) -> None:
-    while todo := [n for n in tree.nodes() if n[1] - n[0] > 1]:
-        node = tree.leaf()
-        wide = [F.max(F.shiftright(f"k{d}", HASH_BITS)) - F.min(F.shiftright(f"k{d}", HASH_BITS)) for d in range(len(DIMENSIONS))]
-        seen = {r.node: r for r in units.groupBy(node.alias("node")).agg(F.sum("bytes").alias("bytes"), *[w.alias(f"w{d}") for d, w in enumerate(wide)]).collect()}
-        aim = {}
+def _sums(units: DataFrame, open_: dict[int, dict]) -> dict[int, list[tuple[int, int]]]:
+    """Bytes per bin, in order, of the nodes that are being split; only units within a node's present bin count."""
+    rows = [(a, x["dim"], x["shift"], max(0, x["shift"] - STEP_BITS), x["prefix"]) for a, x in open_.items()]
+    state = units.sparkSession.createDataFrame(rows, "node int, dim int, shift int, next int, prefix long")
+    at = units.join(F.broadcast(state), "node").withColumn("key", F.expr("element_at(keys, dim + 1)"))
+    sums = at.where("shiftright(key, shift) = prefix").groupBy("node", F.expr("shiftright(key, next)").alias("bin")).agg(F.sum("bytes").alias("bytes"))
+    out: dict[int, list] = {}
+    for r in sums.collect():  # at most 2^STEP_BITS for each node
+        out.setdefault(r.node, []).append((r.bin, r.bytes))
+    return {a: sorted(bins) for a, bins in out.items()}
+
+
+def _split(units: DataFrame, room: list[float], target: float) -> DataFrame:
+    """units (keys, bytes, node) with node the unit's leaf. A node is the first of its leaves, a to b - 1; it is split in
+    the middle, at the quantile that the halves' room asks for."""
+    nodes = [(0, len(room))]
+    while todo := [n for n in nodes if n[1] - n[0] > 1]:
+        wide = [F.max(F.expr(f"shiftright(keys[{d}], {HASH_BITS})")) - F.min(F.expr(f"shiftright(keys[{d}], {HASH_BITS})")) for d in range(len(DIMENSIONS))]
+        seen = {r.node: r for r in units.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[w.alias(f"w{d}") for d, w in enumerate(wide)]).collect()}
+        open_, splits = {}, []
         for a, b in todo:
             r, mid = seen.get(a), (a + b) // 2
-            if r is None:  # no unit is left to split
-                tree.splits[(a, b)] = (0, 0)
-                continue
-            dim = max(range(len(DIMENSIONS)), key=lambda d: (r[f"w{d}"], -d))
-            whole = sum(room[a:b])
-            share = sum(room[a:mid]) / whole if whole > 0 else (mid - a) / (b - a)
-            aim[a] = {"b": b, "dim": dim, "want": share * r.bytes, "prefix": 0, "shift": DIM_BITS + HASH_BITS}
-        open_ = dict(aim)
+            if r is not None:
+                dim = max(range(len(DIMENSIONS)), key=lambda d: (r[f"w{d}"], -d))
+                whole = sum(room[a:b])
+                share = sum(room[a:mid]) / whole if whole > 0 else (mid - a) / (b - a)
+                open_[a] = {"mid": mid, "dim": dim, "want": share * r.bytes, "prefix": 0, "shift": DIM_BITS + HASH_BITS}
         while open_:
-            key = F.lit(None).cast("long")
-            for a, x in open_.items():
-                own = F.col(f"k{x['dim']}")
-                inside = (node == a) & (F.shiftright(own, x["shift"]) == F.lit(x["prefix"]))
-                key = F.when(inside, F.shiftright(own, max(0, x["shift"] - STEP_BITS))).otherwise(key)
-            bins: dict[int, list] = {}
-            for r in units.withColumn("node", node).withColumn("bin", key).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("bytes").alias("bytes")).collect():
-                bins.setdefault(r.node, []).append((r.bin, r.bytes))
+            sums = _sums(units, open_)
             for a in list(open_):
-                x, below = open_[a], 0
-                own = sorted(bins.get(a, []))
+                x, below, own = open_[a], 0, sums[a]
                 for i, (bin_, size) in enumerate(own):
                     if below + size >= x["want"] or i == len(own) - 1:
                         break
@@ -118,10 +100,17 @@ def _split_levels(units: DataFrame, tree: Tree, room: list[float], target: float
                 if size <= EVEN * target or shift == 0:
                     # The nearer end of the bin.
                     over = x["want"] - below > size / 2
-                    tree.splits[(a, x["b"])] = (x["dim"], (bin_ + over) << shift)
+                    splits.append((a, x["dim"], (bin_ + over) << shift, x["mid"]))
                     del open_[a]
                 else:
                     open_[a] = x | {"prefix": bin_, "shift": shift, "want": x["want"] - below}
+        nodes = [n for a, b in nodes for n in ([(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > 1 else [(a, b)])]
+        cut = units.sparkSession.createDataFrame(splits, "node int, dim int, cut long, right int")
+        columns = [c for c in units.columns if c != "node"]
+        moved = units.join(F.broadcast(cut), "node", "left").select(*columns, F.expr("if(cut IS NOT NULL AND element_at(keys, dim + 1) >= cut, right, node)").alias("node"))
+        before, units = units, stored(moved, "shard-level")
+        discard(before)
+    return units
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
@@ -153,11 +142,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
         lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
         place = (F.col(d) - F.lit(lo)) / F.lit(hi - lo) * F.lit(float((1 << DIM_BITS) - 1)) if lo is not None and hi > lo else F.lit(0)
         low = F.pmod(F.xxhash64(F.lit(i), "__h", "__crc"), F.lit(1 << HASH_BITS))
-        scaled.append((F.shiftleft(place.cast("long"), HASH_BITS) + low).alias(f"k{i}"))
-    units = units.where(F.col("bytes") <= LARGE * target).select(*group, "bytes", *scaled)
-    tree = Tree(shards)
-    _split_levels(units, tree, room, target)
-    small = units.select(*[F.col(c).alias(f"_{c}") for c in group], tree.leaf().cast("int").alias("shard"))
+        scaled.append(F.shiftleft(place.cast("long"), HASH_BITS) + low)
+    own = units.where(F.col("bytes") <= LARGE * target).select(*group, "bytes", F.array(*scaled).alias("keys"), F.lit(0).alias("node"))
+    small = _split(stored(own, "shard-level"), room, target).select(*[F.col(c).alias(f"_{c}") for c in group], F.col("node").alias("shard"))
+    discard(units)
     placed = spark.createDataFrame(where, "_h long, _crc long, _size long, _p int, shard int")
     # The few large groups go by a broadcast of bounded size; no key of the other join has over a hundredth of a shard.
     big = at.where("_piece IS NOT NULL")
