@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,18 +256,18 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
             yield pa.RecordBatch.from_arrays([b.column(0), at, pa.array([[x for _, x in m] for m in own], pa.list_(pa.float64())), *b.columns[2:]], names=["doc_id", "at", "dense", *b.schema.names[2:]])
 
     rows = s.mapInArrow(picked, "doc_id long, at array<int>, dense array<double>, looks array<double>, meta array<float>, junk int, toxic int")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    if not rows:
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().combine_chunks()  # numbers, in flat buffers
+    n = rows.num_rows
+    if not n:
         return Model([], np.zeros(len(looks("", [], 0))), np.ones(len(looks("", [], 0))))
-    numbers = np.array([r.looks for r in rows])
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    numbers, meta = flat("looks").reshape(n, -1), flat("meta").astype(np.float32).reshape(n, -1)
     model = Model(vocabulary, numbers.mean(0), np.maximum(numbers.std(0), 1e-3))
-    text = np.zeros((len(rows), len(vocabulary) + numbers.shape[1]), np.float32)
-    for i, r in enumerate(rows):
-        text[i, r["at"]] = r.dense
+    text = np.zeros((n, len(vocabulary) + numbers.shape[1]), np.float32)
+    text[np.repeat(np.arange(n), pc.list_value_length(rows["at"].combine_chunks()).to_numpy(zero_copy_only=False)), flat("at")] = flat("dense")
     text[:, len(vocabulary) :] = (numbers - model.center) / model.scale
-    meta = np.array([r.meta for r in rows], np.float32).reshape(len(rows), -1)
     for flaw in FLAWS:
-        y = np.array([r[flaw] for r in rows], int)
+        y = rows[flaw].to_numpy().astype(int)
         if (y == 1).any() and (y == 0).any():
             coefficients, combined, exchanged = co_train([text, meta], y, rounds)
             model.flaws[flaw] = (coefficients, combined)
