@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..plans import storage
 from ..plans.graph import CodeGraph
+from . import traverse
 
 GROUPS, GROUP_SIZE = 500, 50
+#: Members up to which a group's links meet in one task for its example.
+TOGETHER = 300_000
 SCHEMA = "id string, root string"
 
 
@@ -165,7 +168,7 @@ def detect_cycles(graph: CodeGraph, granularity: str = "module", scope: str | No
     """(rank, id, size, nodes, example, truncated, total_groups): largest groups first, then by least node.
 
     nodes are cut to group_size, groups to `groups`; size and total_groups are whole counts. A component's ids meet in
-    one row, for its hash and its list; its links meet in one task for the example.
+    one row, for its hash and its list; its links meet in one task for the example, up to TOGETHER members.
     """
     links = candidates(graph, granularity, scope).persist()
     try:
@@ -177,7 +180,14 @@ def detect_cycles(graph: CodeGraph, granularity: str = "module", scope: str | No
                 following = rows.groupby("a")["b"].apply(list).to_dict()
                 return pd.DataFrame([{"root": rows["root"].iloc[0], "example": example_cycle(sorted(set(rows["a"])), following)}])
 
-            shown = storage.written(inside.select("a", "b", "root").groupBy("root").applyInPandas(example, "root string, example array<string>"), "examples")
+            inside = storage.written(inside.select("a", "b", "root"), "inside")
+            # Few groups are this large; theirs is the shortest cycle through the least node, found level by level.
+            large = [r.root for r in own.groupBy("root").count().where(F.col("count") > TOGETHER).select("root").collect()]
+            rows = inside.where(~F.col("root").isin(large)) if large else inside
+            shown = rows.groupBy("root").applyInPandas(example, "root string, example array<string>")
+            for root in large:
+                shown = shown.unionByName(_shortest_cycle(graph, inside.where(F.col("root") == root), root))
+            shown = storage.written(shown, "examples")
     finally:
         links.unpersist()
     each = own.groupBy("root").agg(F.sort_array(F.collect_list("id")).alias("all"))
@@ -189,6 +199,14 @@ def detect_cycles(graph: CodeGraph, granularity: str = "module", scope: str | No
     return each.select("rank", "id", "size", "nodes", "example", "truncated", "total_groups")
 
 
+def _shortest_cycle(graph: CodeGraph, links: DataFrame, root: str) -> DataFrame:
+    edges = links.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    reached = traverse.reach(CodeGraph(graph.nodes, edges), [root], paths=True)
+    back = edges.where(F.col("dst") == root).select(F.col("src").alias("id"))
+    last = reached.join(back, "id").orderBy("distance", "id").limit(1)
+    return last.select(F.lit(root).alias("root"), F.concat("path", F.array(F.lit(root))).alias("example"))
+
+
 def cycle_count(graph: CodeGraph) -> int:
     """Groups of more than one file that import each other."""
     links = graph.edges.where("kind = 'import'").select(F.col("src").alias("a"), F.col("dst").alias("b")).where(F.col("a").startswith(ids.FILE) & F.col("b").startswith(ids.FILE)).distinct()

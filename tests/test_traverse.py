@@ -95,6 +95,13 @@ def test_cycle_shapes(spark):
     assert cycles.detect_cycles(G.build(spark, G.files([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]))).collect() == []
 
 
+def test_example_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "TOGETHER", 3)
+    g = G.build(spark, G.files([("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("c", "a"), ("x", "y"), ("y", "x"), ("a", "a")]))
+    rows = cycles.detect_cycles(g).orderBy("rank").collect()
+    assert [list(r.example) for r in rows] == [["file:a", "file:b", "file:c", "file:a"], ["file:x", "file:y", "file:x"]]
+
+
 def test_group_hash_is_known(spark):
     g = G.build(spark, G.files([("src/a.ts", "src/b.ts"), ("src/b.ts", "src/a.ts")]))
     assert cycles.detect_cycles(g).first().id == "scc-83de25d0"
