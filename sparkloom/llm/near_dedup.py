@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import dart_minhash as M
-from .common import stored, table
+from .common import discard, stored, table
 from .token_counts import sliced
 
 THRESHOLD = 0.8
@@ -128,12 +128,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         e = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        e = stored(e, "near-edges")
+        spent, e = e, stored(e, "near-edges")
+        discard(spent)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = stored(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "near-found")
+    discard(e)
+    return out
 
 
 def _with_roots(rows: DataFrame, column: str, roots: DataFrame, into: str) -> DataFrame:
@@ -199,10 +202,10 @@ def _links_in_block(key: int, part: tuple[int, int], rows: list[tuple], threshol
 
 def _blocks(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of members (key, node, hub) of a bucket in different classes that are, or may just be, links."""
-    m = stored(_with_roots(members.select("key", "node", "hub"), "node", roots, "root"), "near-open")
+    m = opened = stored(_with_roots(members.select("key", "node", "hub"), "node", roots, "root"), "near-open")
     mixed = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi AND n > 2")
     m = m.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "key")
-    m = stored(m.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "near-mixed")
+    m = mixed_members = stored(m.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "near-mixed")
     open_ = m.select("node").distinct()
     sets = stored(_sets(texts.join(open_, "node", "left_semi")), "near-sets")
     whole = nodes.join(open_, "node", "left_semi").join(sets, "node")
@@ -217,7 +220,10 @@ def _blocks(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataF
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    out = stored(m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct(), "near-rest")
+    for spent in (opened, mixed_members, sets):
+        discard(spent)
+    return out
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -240,32 +246,40 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     nodes = stored(nodes, "near-nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
+    # As a table, so that the join with it has an exchange on either side, whose hot keys can be split.
+    buckets = stored(buckets, "near-buckets")
     members = stored(members.join(buckets, "key"), "near-members")
     pairs = stored(members.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "near-pairs")
     needed = members.select("node").distinct()
     # The whole texts of nodes that share a bucket with another.
     texts = signed.select(F.col("uid").alias("node"), F.col("row")[text].alias("text")).join(needed, "node", "left_semi")
-    texts = stored(texts, "near-texts")
+    texts = needed_texts = stored(texts, "near-texts")
 
     best = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("least"))).alias("x")).select("a", (-F.col("x.least")).alias("b"))
     links = stored(verify(best, texts, threshold), "near-links")
     roots = components(links)
+    roots_read = [roots]
     others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     others = _with_roots(_with_roots(others, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
-    more = stored(verify(stored(others, "near-others"), texts, threshold), "near-links")
+    others = stored(others, "near-others")
+    found = stored(verify(others, texts, threshold), "near-links")
     star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-    roots = components(star.unionByName(more))
-    rest = stored(_blocks(members, roots, nodes, texts, threshold), "near-rest")
-    more = stored(verify(rest, texts, threshold), "near-links")
+    roots = components(star.unionByName(found))
+    roots_read.append(roots)
+    rest = _blocks(members, roots, nodes, texts, threshold)
+    last_links = stored(verify(rest, texts, threshold), "near-links")
     star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-    roots = components(star.unionByName(more))
+    roots = components(star.unionByName(last_links))
+    roots_read.append(roots)
 
     g = groups.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "node")
     g = _with_roots(g, "node", roots, "root").select("_a", "_b", "root")
     narrow = signed.select("uid", "did", "a", "b")
     own = narrow.join(g, (narrow["a"] == g["_a"]) & (narrow["b"] == g["_b"]), "left").select("uid", "did", F.coalesce("root", "uid").alias("root"))
     own = stored(own, "near-roots")
-    heads = own.groupBy("root").agg(F.min(F.struct("did", "uid")).alias("head"), F.count(F.lit(1)).alias("class_size"))
+    heads = stored(own.groupBy("root").agg(F.min(F.struct("did", "uid")).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
+    for spent in (groups, nodes, buckets, members, pairs, needed_texts, links, others, found, rest, last_links, *roots_read):
+        discard(spent)
     of = own.join(heads, "root").select("uid", F.when(F.col("head.did") < last, F.col("head.did")).alias("class_id"), "class_size", (F.col("uid") == F.col("head.uid")).alias("kept"))
     whole = signed.select("uid", "row").join(of, "uid")
     return whole.select("row", "class_id", "class_size", "kept")
