@@ -19,11 +19,14 @@ from .common import stored, table
 #: One line in DIVISOR ends a chunk, by its rolling hash; chunks of fewer lines than LEAST stay.
 DIVISOR, LEAST = 4, 2
 
+#: Repeated hashes up to this many (some 30 MB) are broadcast, so that only their chunks' texts move; more are joined.
+KEYS = 1_000_000
+
 #: Lines of a text t; ends of chunks; the chunks. Each is bound to a name once, as a lambda evaluates its body per line.
 _CHUNKS = """
 transform(array(split(t, '\\n')), l ->
- transform(array(transform(l, x -> xxhash64(x))), h ->
-  transform(array(transform(sequence(0, size(l) - 1), i -> i > 0 AND pmod(xxhash64(get(h, i - 1), get(h, i)), {divisor}) = 0)), f ->
+ transform(array(transform(l, x -> md5(x))), h ->
+  transform(array(transform(sequence(0, size(l) - 1), i -> i > 0 AND pmod(cast(conv(right(md5(concat(get(h, i - 1), get(h, i))), 6), 16, 10) AS bigint), {divisor}) = 0)), f ->
    transform(array(filter(sequence(0, size(l) - 1), i -> i = size(l) - 1 OR (get(f, i) AND NOT get(f, i - 1)))), e ->
     transform(e, (x, j) -> named_struct(
       'lines', if(j = 0, x + 1, x - get(e, j - 1)),
@@ -56,11 +59,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor:
         "did", "h", F.col("x.i").alias("i"), F.col("x.text").alias("text"), F.xxhash64("x.text").alias("key")
     )
     counts = places.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    repeated = stored(places.join(counts, "key"), "line-chunks")
+    # Tables, so that a join with them has an exchange on either side, whose hot keys can be split.
+    counts = stored(counts, "line-keys")
+    keys = F.broadcast(counts) if counts.count() <= KEYS else counts.hint("merge")
+    repeated = stored(places.join(keys, "key"), "line-chunks")
     first = repeated.groupBy("key", "text").agg(F.min(F.struct("did", "h", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(first.drop("n"), "line-first")
     gone = repeated.join(first, ["key", "text"]).where(F.struct("did", "h", "i") != F.col("first"))
     gone = gone.groupBy(F.col("did").alias("_did"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_set("i")).alias("removed"))
-    out = at.join(gone, (at["did"] == gone["_did"]) & (at["h"] == gone["_h"]), "left")
+    out = at.join(gone.hint("merge"), (at["did"] == gone["_did"]) & (at["h"] == gone["_h"]), "left")
     none = F.array().cast("array<int>")
     out = out.select("row", F.coalesce("removed", none).alias("removed"), "t", chunks(divisor=divisor).alias("c"))
     kept = F.when(F.size("removed") == 0, F.col("t")).otherwise(F.expr("array_join(transform(filter(c, (x, i) -> NOT array_contains(removed, i)), x -> x.text), '\n')"))

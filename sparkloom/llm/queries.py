@@ -11,8 +11,11 @@ from .near_dedup import op3_near_dedup
 from .pitman_yor import op8_pitman_yor
 from .quality import op10_quality
 from .sharding import op1_sharding
+from .sql import ORACLES
 from .token_counts import op2_token_counts
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
@@ -25,4 +28,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
