@@ -35,7 +35,7 @@ from .common import stored, table, tokens_of
 from .token_counts import sliced
 
 SHARE = 1e-3
-BATCH_CHARS, BUCKET_BYTES = 12_000_000, 32_000_000
+BATCH_CHARS, BUCKET_BYTES = 8_000_000, 24_000_000
 SWEEPS, BURN, THETA, SEED = 4, 1, 1.0, 11
 END = b"\n"  # stands in no token
 
