@@ -34,22 +34,22 @@ from .token_counts import sliced
 
 THRESHOLD = 0.8
 #: Documents signed at once; members compared with a hub in one group; members of a block.
-SIGNED, GROUP, BLOCK = 1500, 64, 256
+SIGNED, GROUP, BLOCK = 600, 64, 256
 #: Sketches of a pair at the threshold agree in 102 of 128 coordinates on average, with a deviation of 4.5.
 AGREE = 72
 #: Half the width of the band around the threshold in which 32 bits of a shingle's hash don't decide.
 DOUBT = 0.005
 
 
-def _signed(rows: DataFrame) -> DataFrame:
-    """rows (uid, did, row, text) with a, b (hash of the words, null: none), n, bands, sketch, in place of the text."""
+def _signed(rows: DataFrame, text: str) -> DataFrame:
+    """rows (uid, did, row) with a, b (hash of the words of row's text, null: none), n, bands, sketch."""
     schema = T.StructType([*[rows.schema[c] for c in ("uid", "did", "row")], *[T.StructField(n, t) for n, t in (("a", T.LongType()), ("b", T.LongType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()))]])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first in range(0, b.num_rows, SIGNED):
                 part, at = b.slice(first, SIGNED), 0
-                for texts in sliced(part.column(3)):
+                for texts in sliced(part.column(2).field(text)):
                     own = part.slice(at, len(texts))
                     at += len(texts)
                     sets = M.shingles(texts)
@@ -237,9 +237,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     last = F.lit((1 << 63) - 1)
     at = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.coalesce(docs[doc_id].cast("long"), last).alias("did"),
-        F.struct(*[docs[c] for c in columns]).alias("row"), docs[text].alias("text"),
+        F.struct(*[docs[c] for c in columns]).alias("row"),
     )
-    signed = stored(_signed(at), "near-signed")
+    signed = stored(_signed(at, text), "near-signed")
     copies = signed.where("n > 0").groupBy("a", "b").agg(F.min("uid").alias("node"))
     groups = stored(copies, "near-copies")
     nodes = signed.select(F.col("uid").alias("node"), "bands", "sketch").join(groups.select("node"), "node", "left_semi")
