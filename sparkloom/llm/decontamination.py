@@ -195,8 +195,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     result; items of one id count as one item, a null id as the empty string.
     """
     spark: SparkSession = docs.sparkSession
-    row = F.struct(*[docs[c] for c in keep or docs.columns]).alias("row")
-    out = docs.select(row, docs[text].alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
+    columns = keep or docs.columns
+    inside = text in columns  # the text travels once
+    row = F.struct(*[docs[c] for c in columns]).alias("row")
+    out = docs.select(row, (F.lit(None).cast("string") if inside else docs[text]).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
     schema = T.StructType([f for f in out.schema])
     any_block = False
     for block in blocks(benchmark, item_id, item_text, window, block_words):
@@ -206,7 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         def passed(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 offset = 0
-                for texts in sliced(b.column(1), SHARD_CHARS):
+                for texts in sliced(b.column(0).field(text) if inside else b.column(1), SHARD_CHARS):
                     part = b.slice(offset, len(texts))
                     offset += len(texts)
                     n, hit, items = [], [], []
@@ -219,7 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         out = out.mapInArrow(passed, schema)
     if not any_block:
-        out = out.withColumn("n_words", F.expr(r"regexp_count(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')").cast("long"))
+        out = out.withColumn("n_words", F.expr(rf"regexp_count(coalesce({f'row.`{text}`' if inside else 'text'}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')").cast("long"))
     return out.drop("text")
 
 

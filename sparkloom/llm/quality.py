@@ -285,17 +285,17 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sizes: i
     spark: SparkSession = docs.sparkSession
     view = docs.select(*[docs[c] for c in ("doc_id", "text", "lang", "source")])
     sent = spark.sparkContext.broadcast(train(view, labels.select("doc_id", "quality", "toxic"), **sizes))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"))
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
             at = 0
-            for texts in sliced(b.column(1)):
+            for texts in sliced(b.column(0).field("text")):
                 own = b.slice(at, len(texts))
                 at += len(texts)
-                views = [model.text_rows(texts), np.stack([meta_row(x, s, t) for x, s, t in zip(own.column(2).to_pylist(), own.column(3).to_pylist(), texts, strict=True)])]
+                views = [model.text_rows(texts), np.stack([meta_row(x, s, t) for x, s, t in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(model.probabilities(f, views)) for f in FLAWS)], names=["row", "p_junk", "p_toxic"])
 
     out = rows.mapInArrow(scored, StructType([rows.schema["row"], StructField("p_junk", DoubleType()), StructField("p_toxic", DoubleType())]))
