@@ -1,27 +1,29 @@
 """Language-model scores from a hierarchical Pitman-Yor model, trained on the corpus by Gibbs sampling.
 
-Each frequent word is a context with a restaurant of its own: the words that follow it are its customers. All context
-restaurants share one parent, the root restaurant, whose customers are their tables and the words that follow any
-other word. (A context is frequent if it makes up ``share`` of all training tokens, so there are at most 1 / share.)
-The root's base measure is uniform over the vocabulary and one unknown word.
+Each word (the end too) is a context with a restaurant of its own: the words that follow it are its customers. All
+context restaurants share one parent, the root restaurant, whose customers are their tables. A context without a
+follower in training gives the root's probabilities. The root's base measure is uniform over the vocabulary and one
+unknown word.
 
 Everything about a word - its counts after each context, its tables there and in the root - lives in the bucket of its
-hash. Between buckets only the restaurants' totals are shared: a vector of a number for each context, summed after
-each sweep. A sweep reseats, bucket by bucket, all customers of a dish in turn, each at a new table with the Chinese
-restaurant's probability given the totals of the sweep before; a chain can be run again from its recorded totals and
-seeds, so no seating is stored, and a lost task repeats it. From the sixteenth customer on, up to an eighth of those
-seated come in at once and draw their new tables by one binomial. Predictive probabilities are averaged over the sweeps
-after ``burn``.
+hash. Between buckets only the restaurants' totals are shared. A restaurant's total lives in the shard of its context's
+hash: after each sweep a bucket sends each shard its tables in the contexts it has, and the shard answers with the sums,
+in the same order; so no process holds all contexts. A sweep reseats, bucket by bucket, all customers of a dish in turn,
+each at a new table with the Chinese restaurant's probability given the totals of the sweep before; a chain can be run
+again from its recorded totals and seeds, so no seating is stored, and a lost task repeats it. From the sixteenth
+customer on, up to an eighth of those seated come in at once and draw their new tables by one binomial. Predictive
+probabilities are averaged over the sweeps after ``burn``.
 
 Words never move as text. A batch of documents is written once as integers, with a request for each bucket: hashes of
-the batch's distinct words, the contexts they follow, how often in training documents. A bucket answers each request
+the batch's distinct words, of the contexts they follow, how often in training documents. A bucket answers each request
 with probabilities and counts in the same order, and a batch's answers meet its documents again. So the exchanges carry
 each distinct pair of a batch once, and a word as frequent as may be is one entry.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,103 +33,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, tokens_of
+from .common import discard, scratch_dir, stored, table, tokens_of
 from .token_counts import sliced
 
-SHARE = 1e-3
 BATCH_CHARS, BUCKET_BYTES = 8_000_000, 24_000_000
 SWEEPS, BURN, THETA, SEED = 4, 1, 1.0, 11
 END = b"\n"  # stands in no token
 
-CORPUS = "batch long, bucket int, ids array<long>, held array<boolean>, lengths binary, pairs binary, hashes binary, words binary, contexts binary, counts binary"
-MODEL = "bucket int, pair_word binary, pair_context binary, pair_count binary, batches array<long>, sizes array<long>, asked binary"
-ANSWER = "batch long, bucket int, logs binary, counts binary, ids array<long>, held array<boolean>, lengths binary, pairs binary"
+CORPUS = "batch long, ids array<long>, held array<boolean>, lengths binary, words binary, hashes binary"
+REQUESTS = "batch long, bucket int, hashes binary, runs binary, context_hashes binary, contexts binary, counts binary"
+MODEL = "bucket int, pair_word binary, pair_context binary, pair_count binary, context_hashes binary, batches array<long>, sizes array<long>, asked binary"
+SENT = "shard int, bucket int, hashes binary, customers binary, tables binary, sums array<long>"
+TOTALS = "bucket int, shard int, number int, customers binary, tables binary"
+ANSWER = "batch long, bucket int, logs binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def frequent_words(docs: DataFrame, share: float) -> list[bytes]:
-    """Words (the end too) with at least `share` of the training tokens, in order of their bytes.
+def index_type(n: int) -> type:
+    """The narrower of two types that hold numbers below n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
-    Each slice of documents reports its words with half that share or more; a word of the wanted share over all
-    has it in some slice. A word's reports are summed by a partial aggregate; at most 1 / share words come back.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = 0
-            for texts in sliced(b.column(0), BATCH_CHARS):
-                held = b.column(1).slice(at, len(texts)).to_pylist()
-                at += len(texts)
-                seen: Counter[bytes] = Counter()
-                for t, h in zip(texts, held, strict=True):
-                    if not h:
-                        seen.update(tokens_of(t))
-                        seen[END] += 1
-                total = sum(seen.values())
-                many = [(w, n) for w, n in seen.items() if n >= share / 2 * total]
-                yield pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in many)], pa.binary()), pa.array([total, *(n for _, n in many)], pa.int64())], names=["word", "n"])
-
-    sums = docs.select("text", "held").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = sums.where("word IS NULL").first()
-    if not total or not total.n:
-        return [END]
-    found = sums.where(F.col("word").isNotNull() & (F.col("n") >= share * total.n)).collect()
-    return sorted({END, *(bytes(r.word) for r in found)})
-
-
-def encode(ids: list, held: list[bool], texts: list[str | None], contexts: dict[bytes, int], buckets: int) -> list[dict]:
-    """A batch's corpus row and its request to each bucket, as arrays. Pairs are numbered by (bucket, word, context)."""
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    start = np.flatnonzero(np.diff(x, prepend=-1))
+    return start, np.diff(start, append=len(x)).astype(np.uint32)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array as its size in bytes and its compressed bytes."""
+    return x.nbytes.to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), dtype)
+
+
+def encode(ids: list, held: list[bool], texts: list[str | None]) -> dict:
+    """A batch's corpus row: the words of its documents one after the other, numbered as they come, and their hashes."""
     from xxhash import xxh3_64_intdigest
 
     vocabulary: dict[bytes, int] = defaultdict()
     vocabulary.default_factory = vocabulary.__len__
-    end = vocabulary[END]
-    parts = [np.fromiter(map(vocabulary.__getitem__, chain(tokens_of(t), (END,))), np.int64) for t in texts]
+    vocabulary[END]
+    parts = [np.fromiter(map(vocabulary.__getitem__, chain(tokens_of(t), (END,))), np.uint32) for t in texts]
+    hashes = np.fromiter(map(xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
     lengths = np.array([len(p) for p in parts], np.int64)
-    word = np.concatenate(parts)
+    return {"ids": ids, "held": held, "lengths": lengths.tobytes(), "words": packed(np.concatenate(parts)), "hashes": hashes.tobytes()}
+
+
+def pairs_of(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a corpus row: its words' hashes in order; the word and the context of its distinct pairs, as places there, in
+    order of (word's bucket, word, context); which pair each token is; lengths of the documents."""
+    hashes, lengths = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["lengths"], np.int64)
+    n, order = len(hashes), np.argsort(hashes)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    by = np.argsort(hashes[order] % np.uint64(buckets), kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by] = np.arange(n)
+    word = place[unpacked(row["words"], np.uint32)]
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    before[np.cumsum(lengths) - lengths] = end
-    wide = len(contexts) + 1
-    hashes = np.fromiter(map(xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
-    context = np.fromiter((contexts.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))
-    pair, inverse = np.unique(word * wide + context[before], return_inverse=True)
-    count = np.bincount(inverse, weights=np.repeat(~np.array(held, bool), lengths), minlength=len(pair)).astype(np.int64)
-    of = pair // wide
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    by = np.lexsort((pair, bucket[of]))
-    rank = np.empty(len(by), np.int32)
-    rank[by] = np.arange(len(by), dtype=np.int32)
-    out = [{"bucket": -1, "ids": ids, "held": held, "lengths": lengths.tobytes(), "pairs": rank[inverse].tobytes()}]
-    where = bucket[of][by]
+    before[np.cumsum(lengths) - lengths] = place[0]  # the end
+    pair, inverse = np.unique(rank[word] * n + before, return_inverse=True)
+    return hashes[order], by[pair // n], pair % n, inverse, lengths
+
+
+def requests(row: dict, buckets: int) -> list[dict]:
+    """What a batch asks of each bucket."""
+    hashes, word, context, inverse, lengths = pairs_of(row, buckets)
+    trained = np.repeat(~np.array(row["held"], bool), lengths)
+    count = np.bincount(inverse, weights=trained, minlength=len(word)).astype(np.uint32)
+    where = (hashes % np.uint64(buckets)).astype(np.int64)[word]
+    out = []
     cuts = np.flatnonzero(np.diff(where, prepend=-1, append=buckets))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = by[a:b]
-        first = np.diff(of[own], prepend=-1) != 0
+        first, runs = runs_of(word[a:b])
+        own, at = np.unique(context[a:b], return_inverse=True)
         out.append({
-            "bucket": int(where[a]), "hashes": hashes[of[own][first]].tobytes(), "words": (np.cumsum(first) - 1).astype(np.uint32).tobytes(),
-            "contexts": (pair[own] % wide).astype(np.uint16).tobytes(), "counts": count[own].astype(np.uint32).tobytes(),
+            "batch": row["batch"], "bucket": int(where[a]), "hashes": hashes[word[a:b][first]].tobytes(), "runs": packed(runs),
+            "context_hashes": hashes[own].tobytes(), "contexts": packed(at.astype(index_type(len(own)))), "counts": packed(count[a:b]),
         })
     return out
 
 
-def model_bucket(bucket: int, rows: pd.DataFrame, wide: int) -> dict:
-    """Sums the requests of all batches: the bucket's pairs with their counts, and which pair each request asks for."""
-    rows = rows.sort_values("batch")
-    hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
-    start = np.cumsum([0, *map(len, hashes)])
+def numbered(lists: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct hashes of all lists, in order, and the places of each list's in them."""
+    hashes = [np.frombuffer(x, np.uint64) for x in lists]
     unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    words = [inverse[s + np.frombuffer(x, np.uint32)] for s, x in zip(start, rows["words"], strict=False)]
-    sizes = [len(w) for w in words]
-    key = np.concatenate(words) * wide + np.concatenate([np.frombuffer(x, np.uint16) for x in rows["contexts"]]).astype(np.int64)
-    pair, asked = np.unique(key, return_inverse=True)
-    count = np.bincount(asked, weights=np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]]), minlength=len(pair))
+    return unique, np.split(inverse.astype(np.int32), np.cumsum([len(x) for x in hashes])[:-1])
+
+
+def model_bucket(bucket: int, rows: pd.DataFrame) -> dict:
+    """Sums the requests of all batches: the bucket's pairs with their counts, and which pairs each request asks
+    for, as steps from one to the next: both are in order of (word hash, context hash). Context k, from 1, is the k-th of context_hashes."""
+    rows = rows.sort_values("batch")
+    _, words = numbered(rows["hashes"])
+    words = [np.repeat(w, unpacked(x, np.uint32)) for w, x in zip(words, rows["runs"], strict=True)]
+    contexts, places = numbered(rows["context_hashes"])
+    wide = len(contexts) + 1
+    context = np.concatenate([p[unpacked(x, index_type(len(p)))] for p, x in zip(places, rows["contexts"], strict=True)]) + 1
+    pair, asked = np.unique(np.concatenate(words).astype(np.int64) * wide + context, return_inverse=True)
+    count = np.bincount(asked, weights=np.concatenate([unpacked(x, np.uint32) for x in rows["counts"]]), minlength=len(pair))
+    steps = [np.diff(x, prepend=0) for x in np.split(asked, np.cumsum([len(w) for w in words])[:-1])]
     return {
-        "bucket": bucket, "pair_word": (pair // wide).astype(np.int32).tobytes(), "pair_context": (pair % wide).astype(np.uint16).tobytes(),
-        "pair_count": count.astype(np.int64).tobytes(), "batches": rows["batch"].tolist(), "sizes": sizes, "asked": asked.astype(np.int32).tobytes(),
+        "bucket": bucket, "pair_word": packed((pair // wide).astype(np.int32)), "pair_context": packed((pair % wide).astype(index_type(wide))),
+        "pair_count": packed(count.astype(np.int64)), "context_hashes": contexts.tobytes(), "batches": rows["batch"].tolist(),
+        "sizes": [len(w) for w in words], "asked": packed(np.concatenate(steps).astype(np.uint32)),
     }
 
 
+def opened(rows: pd.DataFrame) -> dict:
+    """The one row of a bucket, its pairs unpacked."""
+    pa.default_memory_pool().release_unused()
+    row = rows.to_dict("records")[0]
+    return row | {k: unpacked(row[k], np.uint8) for k in ("pair_word", "pair_context", "pair_count")}
+
+
 def seat(rng: np.random.Generator, customers: np.ndarray, strength: np.ndarray, discount: float) -> np.ndarray:
     """Tables of a dish after all its customers sat down in turn. strength: (theta + discount * tables of the
     restaurant) times the parent's probability of the dish."""
@@ -143,22 +166,25 @@ def seat(rng: np.random.Generator, customers: np.ndarray, strength: np.ndarray,
     return tables
 
 
+#: Sums over all buckets: training tokens and types, dishes served once and twice in contexts and in the root, root customers.
+FIRST = ("tokens", "types", "ones", "twos", "root_ones", "root_twos", "root_customers")
+
+
 class Totals:
-    """What all buckets share: fixed sizes and discounts, and tables after each sweep."""
+    """What buckets share: fixed sizes and discounts, and tables after each sweep; of contexts, those a bucket has."""
 
-    def __init__(self, wide: int, seen: dict[int, int]):
+    def __init__(self, wide: int, seen: dict):
         self.wide = wide
-        self.tokens, self.types = seen.get(-1, 0), seen.get(-2, 0)
-        ones, twos, root_ones, root_twos = (seen.get(-k, 0) for k in (3, 4, 5, 6))
-        self.d1 = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
-        self.d0 = min(0.95, max(0.05, root_ones / max(1, root_ones + 2 * root_twos)))
-        self.customers = np.array([seen.get(u, 0) for u in range(wide)], np.float64)
+        self.tokens, self.types = seen["tokens"], seen["types"]
+        self.d1 = min(0.95, max(0.05, seen["ones"] / max(1, seen["ones"] + 2 * seen["twos"])))
+        self.d0 = min(0.95, max(0.05, seen["root_ones"] / max(1, seen["root_ones"] + 2 * seen["root_twos"])))
+        self.customers = np.asarray(seen["customers"], np.float64)
         # Before the first sweep each dish has one table wherever it is served.
-        self.sweeps = [self.vector(seen, wide, self.types, seen.get(-7, 0))]
+        self.sweeps = [self.vector(seen["tables"], wide, self.types, seen["root_customers"])]
 
     @staticmethod
-    def vector(seen: dict[int, int], offset: int, root_tables: int, root_customers: int) -> tuple[np.ndarray, float, float]:
-        return np.array([seen.get(offset + u, 0) for u in range(offset)], np.float64), float(root_tables), float(root_customers)
+    def vector(tables: np.ndarray, wide: int, root_tables: int, root_customers: int) -> tuple[np.ndarray, float, float]:
+        return np.asarray(tables[:wide], np.float64), float(root_tables), float(root_customers)
 
 
 class Chain:
@@ -167,7 +193,7 @@ class Chain:
     def __init__(self, row: dict, totals: Totals, theta: float = THETA, seed: int = SEED):
         self.t, self.theta, self.seed, self.bucket = totals, theta, seed, row["bucket"]
         self.word = np.frombuffer(row["pair_word"], np.int32)
-        self.context = np.frombuffer(row["pair_context"], np.uint16).astype(np.int64)
+        self.context = np.frombuffer(row["pair_context"], index_type(self.t_wide)).astype(np.int64)
         self.count = np.frombuffer(row["pair_count"], np.int64)
         self.n_words = int(self.word.max(initial=-1)) + 1
         self.of_word = np.bincount(self.word, weights=self.count, minlength=self.n_words).astype(np.int64)
@@ -180,24 +206,20 @@ class Chain:
     def _up(self) -> np.ndarray:
         return np.bincount(self.word, weights=self.tables, minlength=self.n_words).astype(np.int64)
 
-    def start(self) -> dict[int, int]:
-        """Counts that totals begin with: -1 tokens, -2 types, -3 to -6 dishes served once and twice (contexts, root),
-        -7 root customers; u customers and wide + u tables of context u."""
-        n, one = self.count[self.served], {}
-        one[-1], one[-2] = int(self.of_word.sum()), int((self.of_word > 0).sum())
-        one[-3], one[-4] = int((n == 1).sum()), int((n == 2).sum())
-        one[-5], one[-6], one[-7] = int((self.root == 1).sum()), int((self.root == 2).sum()), int(self.root.sum())
+    def start(self) -> dict:
+        """What totals begin with: the sums of FIRST, customers and tables of each context."""
+        n = self.count[self.served]
+        sums = (self.of_word.sum(), (self.of_word > 0).sum(), (n == 1).sum(), (n == 2).sum(), (self.root == 1).sum(), (self.root == 2).sum(), self.root.sum())
         customers = np.bincount(self.context, weights=self.count, minlength=self.t_wide).astype(np.int64)
-        one |= dict(enumerate(customers.tolist()))
-        return one | self.sums(self.t_wide)
+        return dict(zip(FIRST, map(int, sums), strict=True)) | {"customers": customers, "tables": self.sums(self.t_wide)}
 
     @property
     def t_wide(self) -> int:
         return self.t if isinstance(self.t, int) else self.t.wide
 
-    def sums(self, offset: int) -> dict[int, int]:
-        tables = np.bincount(self.context, weights=self.tables, minlength=offset).astype(np.int64)
-        return {offset + u: n for u, n in enumerate(tables.tolist()) if n}
+    def sums(self, wide: int) -> np.ndarray:
+        """Tables in each context."""
+        return np.bincount(self.context, weights=self.tables, minlength=wide).astype(np.int64)
 
     def parent(self, shared: tuple[np.ndarray, float, float]) -> np.ndarray:
         """The root's probability of each word."""
@@ -225,20 +247,67 @@ class Chain:
         return np.where(u == 0, p, own / (self.theta + self.t.customers[u]))
 
 
-def _summed(model: DataFrame, emit) -> dict[int, int]:
-    """Sums over the buckets of what emit(row) returns, by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                got = emit(row)
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], names=["key", "n"])
-
-    narrow = model.select("bucket", "pair_word", "pair_context", "pair_count")
-    return {r.key: r.n for r in narrow.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+def by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the hashes by shard, and each shard's part of it."""
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shards))
+    return order, [(int(shard[order[a]]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def sent(row: dict, shards: int, tables: np.ndarray, sums: list[int], customers: np.ndarray | None = None) -> pd.DataFrame:
+    """What a bucket sends: to each shard the totals of its own contexts there, and sums over all words as shard -1.
+    The contexts' hashes go along with the customers, before the first sweep."""
+    hashes = np.frombuffer(row["context_hashes"], np.uint64)
+    order, parts = by_shard(hashes, shards)
+    out = [{"shard": -1, "bucket": row["bucket"], "hashes": None, "customers": None, "tables": None, "sums": sums}]
+    for shard, a, b in parts:
+        at = order[a:b]
+        new = {"hashes": None, "customers": None} if customers is None else {"hashes": hashes[at].tobytes(), "customers": packed(customers[1:][at])}
+        out.append({"shard": shard, "bucket": row["bucket"], **new, "tables": packed(tables[1:][at]), "sums": None})
+    return pd.DataFrame(out)
+
+
+def shard_totals(first: pd.DataFrame, rows: pd.DataFrame, names: tuple[str, ...], number: int) -> pd.DataFrame:
+    """A shard's totals over all buckets, for each bucket in the order it sent; `first` has the hashes of that order."""
+    first, rows = first.sort_values("bucket"), rows.sort_values("bucket")
+    _, places = numbered(first["hashes"])
+    at = np.concatenate(places)
+    out = {"bucket": rows["bucket"].to_numpy(), "shard": rows["shard"].to_numpy(), "number": number, "customers": None}
+    for name in names:
+        total = np.bincount(at, weights=np.concatenate([unpacked(x, np.int64) for x in rows[name]])).astype(np.int64)
+        out[name] = [packed(total[p]) for p in places]
+    return pd.DataFrame(out)
+
+
+def bucket_totals(row: dict, rows: pd.DataFrame, sums: list[list[int]], shards: int) -> Totals:
+    """The totals of a bucket's contexts after each sweep so far, put together from the shards' answers."""
+    hashes = np.frombuffer(row["context_hashes"], np.uint64)
+    order, _ = by_shard(hashes, shards)
+
+    def vector(number: int, name: str) -> np.ndarray:
+        own = rows[rows["number"] == number].sort_values("shard")
+        out = np.zeros(len(hashes) + 1, np.int64)
+        out[1 + order] = np.concatenate([unpacked(x, np.int64) for x in own[name]])
+        return out
+
+    totals = Totals(len(hashes) + 1, dict(zip(FIRST, sums[0], strict=True)) | {"customers": vector(0, "customers"), "tables": vector(0, "tables")})
+    for number, (root_tables, root_customers) in enumerate(sums[1:], 1):
+        totals.sweeps.append(Totals.vector(vector(number, "tables"), totals.wide, root_tables, root_customers))
+    return totals
+
+
+def in_buckets(df: DataFrame, buckets: int, by: str, label: str) -> DataFrame:
+    """df in the shared folder as a table of buckets by a column, so that grouping by it later needs no exchange."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, by).saveAsTable(name)
+    out = spark.table(name)
+    out._stored_at = path
+    return out
 
 
-def score(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, sweeps: int = SWEEPS, burn: int = BURN, seed: int = SEED) -> DataFrame:
+def score(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, burn: int = BURN, seed: int = SEED) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens, perplexity.
 
     held tells which rows are left out of training (null: trained on). A null or empty text is one token, its end.
@@ -251,73 +320,108 @@ def score(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "
     spark: SparkSession = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    words = frequent_words(docs, share)
-    # At most 1 / share + 1 words.
-    sent = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
-    wide = len(words) + 1
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("lengths", "pairs", "hashes", "words", "contexts", "counts"))])
+        schema = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("lengths", "words", "hashes"))])
         for b in batches:
             at = 0
             for texts in sliced(b.column(0), BATCH_CHARS):
                 own = b.slice(at, len(texts))
                 at += len(texts)
-                rows = encode(own.column(2).to_pylist(), own.column(1).to_pylist(), texts, sent.value, buckets)
-                yield pa.RecordBatch.from_pylist([{"batch": number, **r} for r in rows], schema=schema)
+                row = encode(own.column(2).to_pylist(), own.column(1).to_pylist(), texts)
+                yield pa.RecordBatch.from_pylist([{"batch": number, **row}], schema=schema)
                 number += 1
 
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("hashes", "runs", "context_hashes", "contexts", "counts"))])
+        for b in batches:
+            for k in range(len(b)):
+                yield pa.RecordBatch.from_pylist(requests(b.slice(k, 1).to_pylist()[0], buckets), schema=schema)
+
     corpus = stored(docs.mapInArrow(encoded, CORPUS), "lm-corpus")
-    asked = corpus.where("bucket >= 0").select("batch", "bucket", "hashes", "words", "contexts", "counts")
+    asked = corpus.select("batch", "held", "lengths", "words", "hashes").mapInArrow(asking, REQUESTS)
 
     def summed(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([model_bucket(key[0], rows, wide)])
-
-    model = stored(asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(summed, MODEL), "lm-model")
-    totals = Totals(wide, _summed(model, lambda row: Chain(row, wide).start()))
-    for number in range(1, sweeps + 1):
-
-        def swept(row: dict, number: int = number, totals: Totals = totals) -> dict[int, int]:
-            c = Chain(row, totals, seed=seed)
+        return pd.DataFrame([model_bucket(key[0], rows)])
+
+    model = in_buckets(asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(summed, MODEL), buckets, "bucket", "lm_model")
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchanged requests
+    def started(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k in range(len(rows)):
+                row = opened(rows[k : k + 1])
+                first = Chain(row, len(row["context_hashes"]) // 8 + 1).start()
+                yield sent(row, buckets, first["tables"], [first[k] for k in FIRST], first["customers"])
+
+    narrow = model.select("bucket", "pair_word", "pair_context", "pair_count", "context_hashes")
+
+    # Functions of their own, as Spark tells what a function is given from how many parameters it has.
+    def sweeper(number: int, sums: list[list[int]]):
+        def swept(rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+            row = opened(rows)
+            c = Chain(row, bucket_totals(row, shared, sums, buckets), seed=seed)
             for k in range(1, number + 1):
                 c.sweep(k)
-            return c.sums(wide) | {-1: int(c.root_tables.sum()), -2: int(c.root.sum())}
+            return sent(row, buckets, c.sums(c.t_wide), [int(c.root_tables.sum()), int(c.root.sum())])
 
-        seen = _summed(model, swept)
-        totals.sweeps.append(Totals.vector(seen, wide, seen.get(-1, 0), seen.get(-2, 0)))
+        return swept
 
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary()), ("counts", pa.binary())])
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chain(row, totals, seed=seed)
-                p = np.zeros(len(c.count))
-                for k in range(1, sweeps + 1):
-                    c.sweep(k)
-                    if k > burn:
-                        p += c.predict(k)
-                logs = np.log10(p / (sweeps - burn)).astype(np.float32)
-                counts = c.of_word[c.word]
-                ends = np.cumsum(row["sizes"])
-                asked = np.frombuffer(row["asked"], np.int32)
-                for batch, end, size in zip(row["batches"], ends, row["sizes"], strict=True):
-                    at = asked[end - size : end]
-                    yield pa.RecordBatch.from_pylist([{"batch": batch, "bucket": row["bucket"], "logs": logs[at].tobytes(), "counts": counts[at].tobytes()}], schema=schema)
-
-    answers = model.mapInArrow(answered, "batch long, bucket int, logs binary, counts binary")
-    kept = corpus.where("bucket < 0").select("batch", "bucket", "ids", "held", "lengths", "pairs")
-    both = answers.unionByName(kept, allowMissingColumns=True)
-    tokens, types = totals.tokens, totals.types
+    def adder(number: int):
+        def added(first: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            return shard_totals(first, rows, ("tables",), number)
+
+        return added
+
+    def summed_up(said: DataFrame, width: int) -> list[int]:
+        one = said.where("shard < 0").agg(*(F.sum(F.col("sums")[k]) for k in range(width))).first()
+        return [int(x or 0) for x in one]
+
+    first = in_buckets(narrow.mapInPandas(started, SENT).repartition(buckets, "shard"), buckets, "shard", "lm_first")
+    sums = [summed_up(first, len(FIRST))]
+    dealt = first.where("shard >= 0")
+    totals = stored(dealt.groupBy("shard").applyInPandas(lambda rows: shard_totals(rows, rows, ("customers", "tables"), 0), TOTALS), "lm-totals")
+    links = dealt.select("shard", "bucket", "hashes")
+    for number in range(1, sweeps + 1):
+        said = stored(narrow.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInPandas(sweeper(number, sums), SENT), "lm-sent")
+        sums = [*sums, summed_up(said, 2)]
+        tables = said.where("shard >= 0").select("shard", "bucket", "tables")
+        totals = totals.unionByName(stored(links.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(adder(number), TOTALS), "lm-totals"))
+        discard(said)
+        spark.sparkContext._jvm.System.gc()
+    discard(first)
+
+    def answered(rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        row = opened(rows)
+        c = Chain(row, bucket_totals(row, shared, sums, buckets), seed=seed)
+        p = np.zeros(len(c.count))
+        for k in range(1, sweeps + 1):
+            c.sweep(k)
+            if k > burn:
+                p += c.predict(k)
+        logs = np.log10(p / (sweeps - burn)).astype(np.float32)
+        ends = np.cumsum(row["sizes"])
+        steps = unpacked(row["asked"], np.uint32)
+        out = []
+        for batch, end, size in zip(row["batches"], ends, row["sizes"], strict=True):
+            at = np.cumsum(steps[end - size : end], dtype=np.int64)
+            word = c.word[at]
+            out.append({"batch": batch, "bucket": row["bucket"], "logs": logs[at].tobytes(), "counts": packed(c.of_word[word[runs_of(word)[0]]])})
+        return pd.DataFrame(out)
+
+    answers = model.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInPandas(answered, ANSWER)
+    both = answers.unionByName(corpus, allowMissingColumns=True)
+    tokens, types = sums[0][:2]
 
     def scored(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
+        pa.default_memory_pool().release_unused()
+        rows = rows.sort_values("bucket", na_position="first")
         own, rest = rows.iloc[0], rows.iloc[1:]
+        _, word, _, pairs, lengths = pairs_of(own, buckets)
         logs = np.concatenate([np.frombuffer(x, np.float32) for x in rest["logs"]]).astype(np.float64)
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in rest["counts"]])
-        lengths, pairs = np.frombuffer(own["lengths"], np.int64), np.frombuffer(own["pairs"], np.int32)
+        counts = np.repeat(np.concatenate([unpacked(x, np.int64) for x in rest["counts"]]), runs_of(word)[1])
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
         starts = np.cumsum(lengths) - lengths
         sums = [np.add.reduceat(x[pairs], starts) for x in (base, logs, (counts > 0).astype(np.int64))]

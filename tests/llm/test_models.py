@@ -110,6 +110,19 @@ def test_language_model(spark):
     assert all(again[r.doc_id] == pytest.approx(r.score, rel=0.02) for r in out)
 
 
+def test_language_model_learns_rare_contexts(spark):
+    """Each of 2,000 cues, a hundredth of a percent of the tokens each, has one follower; a unigram can't tell it."""
+    r = random.Random(4)
+    pairs = [(f"cue{k}", f"then{r.randrange(2000)}") for k in range(2000)]
+    data = [(k, " ".join(w for _ in range(20) for w in r.choice(pairs))) for k in range(1200)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = P.score(df, F.expr(HELD)).collect()
+    check_scores(out, data)
+    new = [x for x in out if x.held_out]
+    n = sum(x.n_tokens for x in new)
+    assert sum(x.score for x in new) / n > sum(x.base_score for x in new) / n + 0.8
+
+
 def test_language_model_is_a_distribution():
     """Over the vocabulary and one unknown word the root's and each context's probabilities add up to 1."""
     r = np.random.default_rng(5)
