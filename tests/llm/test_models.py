@@ -123,6 +123,21 @@ def test_language_model_learns_rare_contexts(spark):
     assert sum(x.score for x in new) / n > sum(x.base_score for x in new) / n + 0.8
 
 
+def test_language_model_whatever_the_layout(spark):
+    """A word of 0.115 % of the tokens that lies mostly in one part is the same context as in any other layout."""
+    r = random.Random(6)
+    data = []
+    for k in range(400):
+        w = [f"w{r.randrange(3000)}" for _ in range(499)]
+        for _ in range(1 if k % 200 < (45 if k < 200 else 185) else 0):
+            w[10:12] = ["uneven", "follower"]
+        data.append((k, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    two = {x.doc_id: x.score for x in P.score(df.coalesce(1).repartitionByRange(2, "doc_id"), F.lit(False)).collect()}
+    one = {x.doc_id: x.score for x in P.score(df.coalesce(1), F.lit(False)).collect()}
+    assert all(two[k] == pytest.approx(v, rel=1e-6) for k, v in one.items())
+
+
 def test_language_model_is_a_distribution():
     """Over the vocabulary and one unknown word the root's and each context's probabilities add up to 1."""
     r = np.random.default_rng(5)
