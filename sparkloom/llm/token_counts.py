@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLE_SIZE = 20_000
-#: Rows whose first characters fill the table of frequent pre-tokens. A bound on what warms the cache, on nothing else.
+#: About how many rows, drawn from the whole table, fill the table of frequent pre-tokens with their first characters. A
+#: bound on what warms the cache, on nothing else.
 WARM_ROWS, WARM_CHARS = 400, 20_000
 CACHE_SIZE = 300_000
 SLICE_CHARS = 3_000_000
@@ -47,9 +48,10 @@ def _encoded(tok, texts: list[str]) -> list[int]:
 
 
 def frequent(docs: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """Lengths of the pre-tokens that are frequent in the first rows; at most table_size."""
+    """Lengths of the pre-tokens that are frequent in rows drawn from all over the table; at most table_size."""
     seen: Counter[str] = Counter()
-    for (t,) in docs.select(F.substring(docs[text], 1, WARM_CHARS)).limit(WARM_ROWS).collect():
+    drawn = docs.select(text).sample(min(1.0, WARM_ROWS / max(1, docs.count())), seed=1)
+    for (t,) in drawn.select(F.substring(text, 1, WARM_CHARS)).collect():
         if t and not _OTHER.search(t):
             seen.update(_PRE_TOKEN.findall(t.lower()))
     words = [w for w, _ in seen.most_common(table_size)]

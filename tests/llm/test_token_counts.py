@@ -35,6 +35,12 @@ def test_small_cache_and_no_table(spark):
     assert C.count_tokens(spark.createDataFrame([], "text string"), P.path("word_bpe_49k.json")).collect() == []
 
 
+def test_frequent_words_of_all_sources(spark):
+    rows = [("alpha beta" if k < 1000 else "gamma delta",) for k in range(2000)]
+    df = spark.createDataFrame(rows, "text string").coalesce(1)
+    assert {"alpha", "beta", "gamma", "delta"} <= set(C.frequent(df, "text", P.path("word_bpe_49k.json")))
+
+
 def test_query(spark, sf_small):
     t = C.tokenizer(P.path("word_bpe_49k.json"))
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
