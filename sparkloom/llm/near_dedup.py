@@ -1,21 +1,25 @@
 """Near-duplicate classes: DartMinHash signatures, banded joining, exact verification, connected components.
 
-1. A map over the documents computes a hash of each one's words, its shingle count, the bands of its signature and a
-   sketch (16 bits of each coordinate); this table, with the documents, is the only thing later steps read.
-2. Documents with equal words are one node, the least row of the group, by a partial aggregate: copies never meet in
-   pairs.
-3. Documents that share a band's bucket are candidates. A bucket's hub is its least node. Pairs of a node with its
-   hubs are compared on their whole texts, first each node with the hub that it shares most buckets with, then, for
-   those that are still in different classes, with its other hubs. Each round ends in connected components.
-4. A bucket whose members are then still in several classes has all its members of different classes compared in
+A link is a weighted (1 + ln count) or a plain Jaccard similarity of five-word shingles of at least 0.8.
+
+1. A node is a distinct sequence of words, named by 64 bits of its hash (two of 10^9 distinct texts share a name with
+   probability 0.03). Copies are one node from the start and never meet in pairs. A map over the documents gives each
+   node the bands of its signature and a sketch (8 bits of each coordinate). A node with repeated shingles is signed
+   twice, by the weights and by the plain set, which for all others is the same signature; so both kinds of links share
+   buckets: with 32 bands of 4 coordinates a pair of similarity 0.8 of either kind shares none with probability 5e-8.
+2. Nodes that share a band's bucket are candidates. A bucket's hub is its least node. Pairs of a node with its hubs pass
+   a comparison of sketches and are then compared on their whole texts, first each node with the hub that it shares
+   most buckets with, then, for those that are still in different classes, with its other hubs. Each round ends in
+   connected components.
+3. A bucket whose members are then still in several classes has all its members of different classes compared in
    blocks of bounded size, by sketch and, where that may reach the threshold, by their whole shingle sets, which travel
    with the members. A pair is compared in the first bucket that it shares. A block sends on only links, and none
    between members that its links join already, so a dense group of n members sends on at most n for each block, and
    a loose one nothing. So every pair that shares a bucket is linked, or in one class already, or known to be
-   dissimilar.
+   dissimilar (a link's sketches differ too much with probability 1e-10).
 
-A link is a weighted or a plain Jaccard similarity of five-word shingles of at least 0.8. With 32 bands of 4
-coordinates a pair of that similarity shares no bucket with probability 5e-8.
+Texts move only where they have to: those of nodes that share a bucket, and rows that have a copy or a link. What can't
+have a partner is told beforehand by a broadcast bitmap of fixed size (``common.trace``).
 """
 
 from __future__ import annotations
@@ -26,47 +30,61 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import dart_minhash as M
-from .common import discard, stored, table
+from .common import discard, grouped, stored, table, trace, traced
 from .token_counts import sliced
 
 THRESHOLD = 0.8
-#: Documents signed at once; members compared with a hub in one group; members of a block.
-SIGNED, GROUP, BLOCK = 600, 64, 256
+#: Documents signed at once; members compared with a hub in one group; members, and bytes of their shingles, of a block.
+SIGNED, GROUP, BLOCK, BLOCK_BYTES = 600, 64, 1024, 16_000_000
 #: Sketches of a pair at the threshold agree in 102 of 128 coordinates on average, with a deviation of 4.5.
 AGREE = 72
 #: Half the width of the band around the threshold in which 32 bits of a shingle's hash don't decide.
 DOUBT = 0.005
+#: Pairs or members for each partition of a comparison.
+PAIRS = 20_000
 
 
-def _signed(rows: DataFrame, text: str) -> DataFrame:
-    """rows (uid, did, row) with a, b (hash of the words of row's text, null: none), n, bands, sketch."""
-    schema = T.StructType([*[rows.schema[c] for c in ("uid", "did", "row")], *[T.StructField(n, t) for n, t in (("a", T.LongType()), ("b", T.LongType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()))]])
+def _bands(signs: np.ndarray) -> np.ndarray:
+    """Keys of the bands: hashes whose last five bits are the band's number."""
+    return ((M.bands(signs) & ~np.uint64(31)) | np.arange(signs.shape[1] // (M.K // M.BANDS), dtype=np.uint64)).view(np.int64)
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """(t, node, n, keys, sketch) of rows (t, text) with words, at least once for each t (a hash of the text): a hash of
+    the words, how many distinct shingles, the bands, and the last 8 bits of the coordinates - of the weighted
+    signature, then of the plain one if that differs."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first in range(0, b.num_rows, SIGNED):
-                part, at = b.slice(first, SIGNED), 0
-                for texts in sliced(part.column(2).field(text)):
+            _, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            b = b.take(pa.array(np.sort(first)))
+            for start in range(0, b.num_rows, SIGNED):
+                part, at = b.slice(start, SIGNED), 0
+                for texts in sliced(part.column(1)):
                     own = part.slice(at, len(texts))
                     at += len(texts)
                     sets = M.shingles(texts)
+                    twice = [k for k, (_, c, _) in enumerate(sets) if (c > 1).any()]
                     signs = M.signatures([(s, M.weights(c)) for s, c, _ in sets])
-                    some = [len(s) > 0 for s, _, _ in sets]
-                    halves = [np.frombuffer(x, np.int64).tolist() if x else (None, None) for _, _, x in sets]
-                    keys = M.bands(signs).view(np.int64)
-                    sketch = signs.astype(np.uint16)
+                    plain = M.signatures([(sets[k][0], np.ones(len(sets[k][0]))) for k in twice])
+                    some = pa.array([len(s) > 0 for s, _, _ in sets])
+                    node = pa.array([int.from_bytes(x[:8], "little", signed=True) if x else None for _, _, x in sets], pa.int64())
+                    keys, marks = list(_bands(signs)), [x.astype(np.uint8).tobytes() for x in signs]
+                    for k, more, sign_ in zip(twice, _bands(plain), plain, strict=True):
+                        keys[k], marks[k] = np.union1d(keys[k], more), marks[k] + sign_.astype(np.uint8).tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            *own.columns[:3], pa.array([x for x, _ in halves], pa.int64()), pa.array([x for _, x in halves], pa.int64()), pa.array([len(s) for s, _, _ in sets], pa.int32()),
-                            pa.array([k.tolist() if ok else None for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64())), pa.array([k.tobytes() if ok else None for k, ok in zip(sketch, some, strict=True)], pa.binary()),
-                        ],
-                        names=schema.names,
-                    )
+                        [own.column(0), node, pa.array([len(s) for s, _, _ in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                        names=["t", "node", "n", "keys", "sketch"],
+                    ).filter(some)
+
+    return rows.mapInArrow(sign, "t long, node long, n int, keys array<long>, sketch binary")
 
-    return rows.mapInArrow(sign, schema)
+
+def both_sketches(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted and plain sketches, a row each."""
+    return tuple(np.frombuffer(b"".join(x), np.uint8).reshape(-1, M.K) for x in ([m[: M.K] for m in marks], [m[-M.K :] for m in marks]))
 
 
 def _grouped_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -83,36 +101,52 @@ def _grouped_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tupl
         yield key, own
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The links among pairs (a, b): those whose texts (node, text) are similar. A b that many pairs have is sent once
-    for each GROUP of them, so no task gets an unbounded group."""
+def _with_hubs(pairs: DataFrame, payload: DataFrame, prepare, like) -> DataFrame:
+    """Those of the pairs (a, b) for which like(a's, b's payload) holds; payload: (node, own), prepared by the slice.
+
+    A hub that many pairs have is sent once for each GROUP of them, so no task gets an unbounded group."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    own = pairs.join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    members = own.select("b", "part", F.lit(1).alias("role"), F.col("a").alias("node")).join(texts, "node")
-    hubs = own.select("b", "part").distinct().select("b", "part", F.lit(0).alias("role"), F.col("b").alias("node")).join(texts, "node")
-    rows = members.unionByName(hubs).select("b", "part", "role", "node", "text")
+    own = pairs.select("a", "b").join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    members = own.select("b", "part", F.lit(1).alias("role"), F.col("a").alias("node"))
+    hubs = own.select("b", "part").distinct().select("b", "part", F.lit(0).alias("role"), F.col("b").alias("node"))
+    rows = members.unionByName(hubs).join(payload, "node").select("b", "part", "role", "node", "own")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
         for b in batches:
             a_, b_ = [], []
             at = 0
-            for texts_ in sliced(b.column(4)):
-                own = b.slice(at, len(texts_))
-                at += len(texts_)
-                sets = M.shingles(texts_)
-                for h, part, role, node, (s, c, _) in zip(*(own.column(i).to_pylist() for i in range(4)), sets, strict=True):
+            for payloads in sliced(b.column(4)):
+                own = b.slice(at, len(payloads))
+                at += len(payloads)
+                for h, role, node, x in zip(*(own.column(i).to_pylist() for i in (0, 2, 3)), prepare(payloads), strict=True):
                     if role == 0:
-                        hub = (h, part, (s, c))
-                    elif max(M.similarity((s, c), hub[2])) >= threshold - 1e-9:
+                        hub = x
+                    elif like(x, hub):
                         a_.append(node)
                         b_.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = grouped(pairs, pairs.count(), PAIRS)
     return rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(compare, "a long, b long")
 
 
+def sieve(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs whose sketches (node, sketch) may be of a link."""
+    return _with_hubs(
+        pairs, sketches.select("node", F.col("sketch").alias("own")), lambda marks: list(zip(*both_sketches(marks), strict=True)),
+        lambda x, y: max(int((x[0] == y[0]).sum()), int((x[1] == y[1]).sum())) >= AGREE,
+    )
+
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The links among the pairs: those whose texts (node, text) are similar."""
+    return _with_hubs(
+        pairs, texts.select("node", F.col("text").alias("own")), lambda own: [s[:2] for s in M.shingles(own)],
+        lambda x, y: max(M.similarity(x, y)) >= threshold - 1e-9,
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (a, b): the least node of each connected component.
 
@@ -124,11 +158,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        spent, e = e, stored(e, "near-edges")
+        small = large.join(low.hint("merge"), "a")
+        to = F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", "m"))).otherwise(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))))
+        spent, e = e, stored(small.select(to.alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).distinct(), "near-edges")
         discard(spent)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
@@ -166,11 +200,12 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, 4 * n)
 
 
-def _links_in_block(key: int, part: tuple[int, int], rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
-    """Links between members (part, node, hub, root, sketch, bands, shingles) of a bucket's two parts (or of one)."""
-    parts, node, hub, root, sketch, bands, shingles = zip(*rows, strict=True)
+def _links_in_block(band: int, part: tuple[int, int], rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Links between members (part, node, hub, root, sketch, shingles) of two parts (or of one) of a bucket of `band`."""
+    parts, node, hub, root, sketch, shingles = zip(*rows, strict=True)
     parts, node = np.array(parts), np.array(node, np.int64)
-    marks, keys = np.stack([np.frombuffer(s, np.uint16) for s in sketch]), np.array(bands, np.int64)
+    marks = both_sketches(sketch)
+    words = [np.ascontiguousarray(m).view(np.uint32) for m in marks]  # a band's four coordinates
     sets = [_unpacked(s) for s in shingles]
     up = {r: r for r in root}
 
@@ -184,13 +219,17 @@ def _links_in_block(key: int, part: tuple[int, int], rows: list[tuple], threshol
     out = []
     for x in left:
         # The hub has been compared with all members.
-        near = right[(node[right] > node[x]) | (part[0] != part[1])]
-        near = near[(node[near] != hub[0]) & (node[x] != hub[0])]
-        near = near[(marks[near] == marks[x]).sum(1) >= AGREE]
+        if node[x] == hub[0]:
+            continue
+        near = right[((node[right] > node[x]) | (part[0] != part[1])) & (node[right] != hub[0])]
+        near = near[np.maximum((marks[0][near] == marks[0][x]).sum(1), (marks[1][near] == marks[1][x]).sum(1)) >= AGREE]
         if not len(near):
             continue
-        shared = keys[near] == keys[x]
-        near = near[keys[near, shared.argmax(1)] == key]  # in their first bucket
+        shared = np.zeros((len(near), M.BANDS), bool)
+        for own in words:
+            for other in words:
+                shared |= own[near] == other[x]
+        near = near[shared.argmax(1) == band]  # in their first bucket
         for y in near.tolist():
             a, b = find(root[x]), find(root[y])
             if a != b and (like := max(M.similarity(sets[x], sets[y]))) >= threshold - DOUBT:
@@ -200,32 +239,69 @@ def _links_in_block(key: int, part: tuple[int, int], rows: list[tuple], threshol
     return out
 
 
-def _blocks(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members (key, node, hub) of a bucket in different classes that are, or may just be, links."""
-    m = opened = stored(_with_roots(members.select("key", "node", "hub"), "node", roots, "root"), "near-open")
-    mixed = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi AND n > 2")
-    m = m.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "key")
+def _blocks(members: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members (key, node, n, hub) of a bucket in different classes that are, or may just be, links."""
+    opened = stored(_with_roots(members, "node", roots, "root"), "near-open")
+    mixed = opened.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(6 * F.col("n") + 3 * M.K).alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi AND size > 2")
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    m = opened.join(mixed.select("key", parts.alias("parts")), "key")
     m = mixed_members = stored(m.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "near-mixed")
     open_ = m.select("node").distinct()
-    sets = stored(_sets(texts.join(open_, "node", "left_semi")), "near-sets")
-    whole = nodes.join(open_, "node", "left_semi").join(sets, "node")
+    whole = sets = stored(_sets(texts.join(open_, "node", "left_semi")).join(sketches, "node"), "near-sets")
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "hub", "root").join(whole, "node")
-    m = m.select("key", "i", "j", "part", "node", "hub", "root", "sketch", "bands", "shingles")
+    m = m.select("key", "i", "j", "part", "node", "hub", "root", "sketch", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, i, j), rows in _grouped_rows(batches, 3):
-            found = _links_in_block(key, (i, j), rows, threshold)
+            found = _links_in_block(key & 31, (i, j), rows, threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = grouped(m, mixed_members.count(), PAIRS)
     out = stored(m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct(), "near-rest")
-    for spent in (opened, mixed_members, sets):
-        discard(spent)
+    discard(opened, mixed_members, sets)
     return out
 
 
+def link_roots(rows: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of those nodes of rows (t, text) that have links: the least node of each class. signed: _signed(rows)."""
+    members = signed.select("node", "n", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+    # As a table, so that the join with it has an exchange on either side, whose hot keys can be split.
+    buckets = stored(buckets, "near-buckets")
+    members, _ = traced(members, "key", trace(buckets, "key"))
+    members = stored(members.join(buckets, "key").distinct(), "near-members")
+    nodes = members.select("node").distinct()
+    sketches, _ = traced(signed.select("node", "t", "sketch"), "node", trace(nodes, "node"))
+    sketches = stored(sketches.groupBy("node").agg(F.min(F.struct("t", "sketch")).alias("x")).join(nodes, "node", "left_semi").select("node", "x.*"), "near-sketches")
+    texts, _ = traced(rows, "t", trace(sketches, "t"))
+    # Copies meet before they move: one row of a text from each task.
+    texts = texts.groupBy("t").agg(F.first("text").alias("text")).join(sketches.select("t", "node"), "t")
+    texts = stored(texts.select("node", "text"), "near-texts")
+    discard(buckets)
+
+    pairs = members.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = all_pairs = stored(pairs, "near-pairs")
+    pairs = stored(sieve(pairs, sketches).join(pairs, ["a", "b"]), "near-sieved")
+    discard(all_pairs)
+    best = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("least"))).alias("x")).select("a", (-F.col("x.least")).alias("b"))
+    best = stored(best, "near-best")
+    links = stored(verify(best, texts, threshold), "near-links")
+    roots = components(links)
+    others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    others = _with_roots(_with_roots(others, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
+    others = stored(others, "near-others")
+    for more in (lambda: others, lambda: _blocks(members, roots, sketches, texts, threshold)):
+        candidates = more()
+        found = stored(verify(candidates, texts, threshold), "near-links")
+        star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+        spent, roots = roots, components(star.unionByName(found))
+        discard(spent, candidates, found)
+    discard(members, sketches, texts, pairs, best, links)
+    return roots
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Per row of docs: row (a struct of its columns, or of those to keep), class_id, class_size, kept.
 
@@ -233,56 +309,33 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     are lower-cased runs of letters, digits and characters beyond ASCII. Rows without words (null, empty) are classes
     of their own, repeated rows share one. An empty table gives an empty one.
     """
-    columns = list(dict.fromkeys([*(keep or docs.columns), text]))
     last = F.lit((1 << 63) - 1)
-    at = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.coalesce(docs[doc_id].cast("long"), last).alias("did"),
-        F.struct(*[docs[c] for c in columns]).alias("row"),
+    t = F.when(docs[text].isNotNull(), F.xxhash64(docs[text])).alias("t")
+    texts = docs.select(t, docs[text].cast("string").alias("text")).where("t IS NOT NULL")
+    signed = stored(_signed(texts), "near-signed")
+    roots = link_roots(texts, signed, threshold)
+    counts = texts.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    same = signed.select("t", "node").distinct().join(counts, "t")
+    copies = same.groupBy("node").agg(F.sum("n").alias("all"))
+    of = same.join(copies, "node").join(roots, "node", "left").where("all > 1 OR root IS NOT NULL")
+    of = stored(of.select("t", F.coalesce("root", "node").alias("root")), "near-roots")
+    discard(roots, signed)
+
+    rows = docs.select(
+        F.coalesce(docs[doc_id].cast("long"), last).alias("did"), F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), t,
     )
-    signed = stored(_signed(at, text), "near-signed")
-    copies = signed.where("n > 0").groupBy("a", "b").agg(F.min("uid").alias("node"))
-    groups = stored(copies, "near-copies")
-    nodes = signed.select(F.col("uid").alias("node"), "bands", "sketch").join(groups.select("node"), "node", "left_semi")
-    nodes = stored(nodes, "near-nodes")
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
-    # As a table, so that the join with it has an exchange on either side, whose hot keys can be split.
-    buckets = stored(buckets, "near-buckets")
-    members = stored(members.join(buckets, "key"), "near-members")
-    pairs = stored(members.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "near-pairs")
-    needed = members.select("node").distinct()
-    # The whole texts of nodes that share a bucket with another.
-    texts = signed.select(F.col("uid").alias("node"), F.col("row")[text].alias("text")).join(needed, "node", "left_semi")
-    texts = needed_texts = stored(texts, "near-texts")
-
-    best = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("least"))).alias("x")).select("a", (-F.col("x.least")).alias("b"))
-    links = stored(verify(best, texts, threshold), "near-links")
-    roots = components(links)
-    roots_read = [roots]
-    others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    others = _with_roots(_with_roots(others, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
-    others = stored(others, "near-others")
-    found = stored(verify(others, texts, threshold), "near-links")
-    star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-    roots = components(star.unionByName(found))
-    roots_read.append(roots)
-    rest = _blocks(members, roots, nodes, texts, threshold)
-    last_links = stored(verify(rest, texts, threshold), "near-links")
-    star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-    roots = components(star.unionByName(last_links))
-    roots_read.append(roots)
-
-    g = groups.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "node")
-    g = _with_roots(g, "node", roots, "root").select("_a", "_b", "root")
-    narrow = signed.select("uid", "did", "a", "b")
-    own = narrow.join(g, (narrow["a"] == g["_a"]) & (narrow["b"] == g["_b"]), "left").select("uid", "did", F.coalesce("root", "uid").alias("root"))
-    own = stored(own, "near-roots")
-    heads = stored(own.groupBy("root").agg(F.min(F.struct("did", "uid")).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
-    for spent in (groups, nodes, buckets, members, pairs, needed_texts, links, others, found, rest, last_links, *roots_read):
-        discard(spent)
-    of = own.join(heads, "root").select("uid", F.when(F.col("head.did") < last, F.col("head.did")).alias("class_id"), "class_size", (F.col("uid") == F.col("head.uid")).alias("kept"))
-    whole = signed.select("uid", "row").join(of, "uid")
-    return whole.select("row", "class_id", "class_size", "kept")
+    seen = stored(trace(of, "t"), "near-trace")
+    several, alone = traced(rows, "t", seen)
+    several = stored(several.withColumn("uid", F.monotonically_increasing_id()), "near-rows")
+    # A row that only came along is a class of its own.
+    joined = several.select("uid", "did", "t").join(of, "t", "left")
+    own = stored(joined.select("uid", "did", F.col("root").isNull().alias("single"), F.coalesce("root", "uid").alias("root")), "near-own")
+    heads = own.groupBy("single", "root").agg(F.min(F.struct("did", "uid")).alias("head"), F.count(F.lit(1)).alias("class_size"))
+    heads = stored(heads, "near-heads")
+    told = stored(own.join(heads, ["single", "root"]).select("uid", F.when(F.col("head.did") < last, F.col("head.did")).alias("class_id"), "class_size", (F.col("uid") == F.col("head.uid")).alias("kept")), "near-told")
+    discard(of, own, heads)
+    single = alone.select("row", F.when(F.col("did") < last, F.col("did")).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return several.select("uid", "row").join(told, "uid").select("row", "class_id", "class_size", "kept").unionByName(single)
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
@@ -292,5 +345,5 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document, and whether it is the one that stays."""
-    out = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = classes(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "class_id", "class_size", "kept")

@@ -136,6 +136,42 @@ def test_blocks_reach_pairs_that_share_no_hub(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(want.values())
 
 
+def test_plain_links_between_texts_with_repeats(spark):
+    """Texts that share most shingles, of which some repeat a line very often: plainly similar, by weight they aren't."""
+    r = random.Random(12)
+    texts = []
+    for g in range(12):
+        base = [f"b{g}x{r.randrange(10_000)}" for _ in range(130)]
+        for k in range(4):
+            line = [f"l{g}x{k}x{j}" for j in range(8)]
+            t = base[: 130 - k] + line * (1 if k == 0 else 150)
+            texts.append(" ".join(t))
+    sets = [s[:2] for s in M.shingles(texts)]
+    weak = [x for g in range(12) for i, j in combinations(range(4 * g, 4 * g + 4), 2) for x in [M.similarity(sets[i], sets[j])] if x[1] >= 0.8 > 0.7 > x[0]]
+    assert len(weak) > 20
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], SCHEMA)
+    want, got = {}, {}
+    for k, c in enumerate(brute(texts)):
+        want.setdefault(c, []).append(k)
+    for x in N.classes(df).collect():
+        got.setdefault(x.class_id, []).append(x.row.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(want.values())
+
+
+def test_rows_without_words_stay(spark):
+    """Whatever their number, and whatever bits of the trace are set."""
+    from sparkloom.llm import common
+
+    df = spark.createDataFrame([(k, ["", " .", None, "one two", "one two"][k % 5], "x", 1) for k in range(50)], SCHEMA)
+    bits, common.TRACE_BITS = common.TRACE_BITS, 1
+    try:
+        out = N.classes(df).collect()
+    finally:
+        common.TRACE_BITS = bits
+    assert sorted(x.row.doc_id for x in out if x.kept) == sorted({k for k in range(50) if k % 5 < 3} | {3})
+    assert len(out) == 50 and sum(x.class_size == 20 for x in out) == 20
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(60)]
