@@ -1,16 +1,17 @@
 """K-d tree sharding: documents are split at weighted medians of their metadata until each leaf is one shard.
 
-Equal texts are one *unit* with the group's bytes. A node of the tree is split across its widest dimension (of the
-scaled metadata: bytes, source, language, id) at the weighted quantile that gives both sides the bytes of their
-leaves. A unit's coordinate is followed by bits of its hash, so that ties of a dimension can be split anywhere.
+Equal texts are one *unit* with the group's bytes; a group larger than nine tenths of a shard is cut into pieces by its
+rows' ids, which are units of their own. A node of the tree is split across its widest dimension (of the scaled metadata:
+bytes, source, language, id) at the weighted quantile that gives both sides the bytes of their leaves. A unit's coordinate
+is followed by bits of its hash, so that ties of a dimension can be split anywhere. What lies before the cut goes left,
+what lies behind it right; the few units at the cut itself (ZONE at most) are dealt, largest first, to the side that lacks
+most, so both sides come out even. Units beyond a quarter of a shard, which no quantile could balance, are dealt like that
+before the node's quantile is looked for.
 
 Quantiles are found for all nodes of a level at once by radix histograms over the stored units: some bytes summed per
-node and bin (2,048 bins at most, so what the driver reads is bounded by the shards, not by the data), then again
-within the bin that holds the quantile. What differs between passes - each node's dimension, bin and split - is a small
-broadcast table, so all passes share one compiled plan; units are written with their new node after each level. Groups
-beyond a hundredth of a shard, of which there can be at most a hundred
-for each shard, are placed first, largest to the emptiest shard; a group larger than nine tenths of a shard is dealt
-out in pieces. The tree then fills up what they leave.
+node and bin (2,048 bins at most), then again within the bin that holds the quantile. So what the driver reads is bounded
+by the shards, not by the data. What differs between passes - each node's dimension, bin and split - is a small broadcast
+table, so all passes share one compiled plan; units are written with their new node after each level.
 """
 
 from __future__ import annotations
@@ -21,162 +22,186 @@ from pyspark.sql import functions as F
 from .common import discard, stored, table
 
 SHARDS = 24
-LARGE, WHOLE, PIECE = 0.01, 0.9, 0.05
+#: Shares of a shard: groups that are cut, the pieces, units dealt before the quantile, groups joined by a broadcast.
+WHOLE, PIECE, BIG, NOTED = 0.9, 0.01, 0.25, 0.01
 DIM_BITS, HASH_BITS, STEP_BITS = 20, 42, 11
-EVEN = 0.0005  # of a shard: a quantile is found when its bin has no more
+#: Units at a cut.
+ZONE = 64
 
 DIMENSIONS = ("d_bytes", "d_source", "d_lang", "d_id")
+GROUP = ("h", "crc", "size")
+UNIT = (*GROUP, "piece")
 
 
-def _code(c: F.Column) -> F.Column:
-    """The first 7 bytes of a string as a number: the order of code points, as far as they go."""
-    padded = F.rpad(F.hex(F.substring(F.coalesce(c, F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(padded, 16, 10).cast("double")
+def _place(c: F.Column) -> F.Column:
+    """Where a name stands in its dimension: a hash of the whole of it."""
+    return F.pmod(F.xxhash64(c.cast("string"), c.isNull()), F.lit(1 << DIM_BITS)).cast("double")
 
 
-def with_group(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __size, __crc and __h; equal texts agree in all three (96 bits and the length)."""
+def with_group(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, keep: list[str]) -> DataFrame:
+    """row (a struct of the columns to keep), id, h, crc, size and the dimensions; equal texts agree in h, crc, size."""
+    t = docs[text].cast("string")
+    size = (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long")
     return docs.select(
-        "*", (F.coalesce(F.octet_length(docs[text]), F.lit(0)) + 8).cast("long").alias("__size"),
-        F.coalesce(F.crc32(docs[text].cast("binary")), F.lit(0)).cast("long").alias("__crc"),
-        F.xxhash64(docs[text], docs[text].isNull()).alias("__h"),
+        F.struct(*[docs[c] for c in keep]).alias("row"), docs[doc_id].cast("string").alias("id"), F.xxhash64(t, t.isNull()).alias("h"),
+        F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("crc"), size.alias("size"), F.log2(size.cast("double")).alias("d_bytes"),
+        _place(docs[source]).alias("d_source"), _place(docs[lang]).alias("d_lang"), F.coalesce(docs[doc_id].cast("double"), F.lit(0.0)).alias("d_id"),
     )
 
 
-def _units(docs: DataFrame, doc_id: str, source: str, lang: str) -> DataFrame:
-    return docs.groupBy("__h", "__crc", "__size").agg(
-        F.sum("__size").alias("bytes"), F.min(F.log2(F.col("__size").cast("double"))).alias("d_bytes"),
-        F.min(_code(docs[source])).alias("d_source"), F.min(_code(docs[lang])).alias("d_lang"),
-        F.min(F.coalesce(docs[doc_id].cast("double"), F.lit(0.0))).alias("d_id"),
-    )
+def deal(units: list[tuple], room: list[float]) -> list[int]:
+    """The side (0 or 1) of each unit (bytes, *key): largest first, to the side with more room left."""
+    left, side = list(room), [0] * len(units)
+    for i in sorted(range(len(units)), key=lambda i: (-units[i][0], units[i][1:])):
+        side[i] = int(left[1] > left[0])
+        left[side[i]] -= units[i][0]
+    return side
 
 
-def place_large(pieces: list[tuple], shards: int) -> tuple[list[float], list[tuple]]:
-    """Loads of the shards, and (*key, piece, shard) for each (*key, piece, bytes): largest first, to the least load."""
-    load, where = [0.0] * shards, []
-    for *key, size in sorted(pieces, key=lambda p: (-p[-1], *p[:-1])):
-        s = min(range(shards), key=lambda i: (load[i], i))
-        load[s] += size
-        where.append((*key, s))
-    return load, where
+def window(bins: list[tuple[int, int, int]], at: int, most: int) -> tuple[int, int]:
+    """First and last place in bins (bin, bytes, units) of the run around `at` that has `most` units at most."""
+    a, b, n = at, at, bins[at][2]
+    while True:
+        more = [(bins[i][2], i) for i in (a - 1, b + 1) if 0 <= i < len(bins) and n + bins[i][2] <= most]
+        if not more:
+            return a, b
+        units, i = min(more)
+        a, b, n = min(a, i), max(b, i), n + units
 
 
-def _sums(units: DataFrame, open_: dict[int, dict]) -> dict[int, list[tuple[int, int]]]:
-    """Bytes per bin, in order, of the nodes that are being split; only units within a node's present bin count."""
+def _sums(units: DataFrame, open_: dict[int, dict], big: float) -> dict[int, list[tuple[int, int, int]]]:
+    """(bin, bytes, units) in order, of the nodes that are being split; only units within a node's present bin count."""
     rows = [(a, x["dim"], x["shift"], max(0, x["shift"] - STEP_BITS), x["prefix"]) for a, x in open_.items()]
     state = units.sparkSession.createDataFrame(rows, "node int, dim int, shift int, next int, prefix long")
-    at = units.join(F.broadcast(state), "node").withColumn("key", F.expr("element_at(keys, dim + 1)"))
-    sums = at.where("shiftright(key, shift) = prefix").groupBy("node", F.expr("shiftright(key, next)").alias("bin")).agg(F.sum("bytes").alias("bytes"))
+    at = units.where(F.col("bytes") <= big).join(F.broadcast(state), "node").withColumn("key", F.expr("element_at(keys, dim + 1)"))
+    sums = at.where("shiftright(key, shift) = prefix").groupBy("node", F.expr("shiftright(key, next)").alias("bin"))
     out: dict[int, list] = {}
-    for r in sums.collect():  # at most 2^STEP_BITS for each node
-        out.setdefault(r.node, []).append((r.bin, r.bytes))
+    for r in sums.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).collect():  # at most 2^STEP_BITS for each node
+        out.setdefault(r.node, []).append((r.bin, r.bytes, r.n))
     return {a: sorted(bins) for a, bins in out.items()}
 
 
-def _split(units: DataFrame, room: list[float], target: float) -> DataFrame:
-    """units (keys, bytes, node) with node the unit's leaf. A node is the first of its leaves, a to b - 1; it is split in
-    the middle, at the quantile that the halves' room asks for."""
-    nodes = [(0, len(room))]
+def split(units: DataFrame, shards: int, target: float) -> DataFrame:
+    """units (h, crc, size, piece, bytes, keys, node) with node the unit's leaf. A node is named by the first of its
+    leaves, a to b - 1; it is split in the middle of them."""
+    spark, big = units.sparkSession, max(1.0, BIG * target)
+    nodes = [(0, shards)]
     while todo := [n for n in nodes if n[1] - n[0] > 1]:
         wide = [F.max(F.expr(f"shiftright(keys[{d}], {HASH_BITS})")) - F.min(F.expr(f"shiftright(keys[{d}], {HASH_BITS})")) for d in range(len(DIMENSIONS))]
         seen = {r.node: r for r in units.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[w.alias(f"w{d}") for d, w in enumerate(wide)]).collect()}
-        open_, splits = {}, []
+        large: dict[int, list] = {}
+        for r in units.where(F.col("bytes") > big).select("node", "bytes", *UNIT).collect():  # at most 1 / BIG for each shard
+            large.setdefault(r.node, []).append(tuple(r)[1:])
+        open_, cuts, dealt = {}, [], []
         for a, b in todo:
             r, mid = seen.get(a), (a + b) // 2
-            if r is not None:
-                dim = max(range(len(DIMENSIONS)), key=lambda d: (r[f"w{d}"], -d))
-                whole = sum(room[a:b])
-                share = sum(room[a:mid]) / whole if whole > 0 else (mid - a) / (b - a)
-                open_[a] = {"mid": mid, "dim": dim, "want": share * r.bytes, "prefix": 0, "shift": DIM_BITS + HASH_BITS}
+            if r is None:
+                continue
+            share = (mid - a) / (b - a)
+            room = [r.bytes * share, r.bytes * (1 - share)]
+            own = large.get(a, [])
+            for u, side in zip(own, deal(own, room), strict=True):
+                room[side] -= u[0]
+                dealt.append((a, *u[1:], mid if side else a))
+            dim = max(range(len(DIMENSIONS)), key=lambda d: (r[f"w{d}"], -d))
+            if sum(u[0] for u in own) < r.bytes:
+                open_[a] = {"mid": mid, "dim": dim, "room": room, "prefix": 0, "shift": DIM_BITS + HASH_BITS}
+        zones: list[tuple] = []
         while open_:
-            sums = _sums(units, open_)
+            sums = _sums(units, open_, big)
             for a in list(open_):
-                x, below, own = open_[a], 0, sums[a]
-                for i, (bin_, size) in enumerate(own):
-                    if below + size >= x["want"] or i == len(own) - 1:
+                x, bins = open_[a], sums[a]
+                shift, below = max(0, x["shift"] - STEP_BITS), 0
+                for i, (bin_, size, n) in enumerate(bins):
+                    if below + size >= x["room"][0] or i == len(bins) - 1:
                         break
                     below += size
-                shift = max(0, x["shift"] - STEP_BITS)
-                if size <= EVEN * target or shift == 0:
-                    # The nearer end of the bin.
-                    over = x["want"] - below > size / 2
-                    splits.append((a, x["dim"], (bin_ + over) << shift, x["mid"]))
+                if n <= ZONE or shift == 0:
+                    lo, hi = window(bins, i, ZONE)
+                    room = [x["room"][0] - sum(s for _, s, _ in bins[:lo]), x["room"][1] - sum(s for _, s, _ in bins[hi + 1 :])]
+                    zones.append((a, x["dim"], bins[lo][0] << shift, ((bins[hi][0] + 1) << shift) - 1, x["mid"], room))
                     del open_[a]
                 else:
-                    open_[a] = x | {"prefix": bin_, "shift": shift, "want": x["want"] - below}
+                    room = [x["room"][0] - below, x["room"][1] - sum(s for _, s, _ in bins[i + 1 :])]
+                    open_[a] = x | {"prefix": bin_, "shift": shift, "room": room}
+        zone = spark.createDataFrame([z[:5] for z in zones], "node int, dim int, first long, last long, right int")
+        at = units.where(F.col("bytes") <= big).join(F.broadcast(zone), "node").where("element_at(keys, dim + 1) BETWEEN first AND last")
+        at_cut: dict[int, list] = {}
+        for r in at.select("node", "bytes", *UNIT).collect():  # at most ZONE for each node
+            at_cut.setdefault(r.node, []).append(tuple(r)[1:])
+        for a, _, _, _, mid, room in zones:
+            own = at_cut.get(a, [])
+            dealt += [(a, *u[1:], mid if side else a) for u, side in zip(own, deal(own, room), strict=True)]
         nodes = [n for a, b in nodes for n in ([(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > 1 else [(a, b)])]
-        cut = units.sparkSession.createDataFrame(splits, "node int, dim int, cut long, right int")
-        columns = [c for c in units.columns if c != "node"]
-        moved = units.join(F.broadcast(cut), "node", "left").select(*columns, F.expr("if(cut IS NOT NULL AND element_at(keys, dim + 1) >= cut, right, node)").alias("node"))
+        to = spark.createDataFrame(dealt, "node int, h long, crc long, size long, piece int, side int")
+        moved = units.join(F.broadcast(zone), "node", "left").join(F.broadcast(to), ["node", *UNIT], "left")
+        moved = moved.select(*UNIT, "bytes", "keys", F.expr("coalesce(side, if(element_at(keys, dim + 1) > last, right, node))").alias("node"))
         before, units = units, stored(moved, "shard-level")
         discard(before)
     return units
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """docs with __size, __crc and `shard` (int, 0 to shards - 1); every row of docs, so also repeated ones.
+def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """Per row of docs, also repeated ones: row (a struct of its columns, or of those to keep), id, size, crc, h, shard.
 
     A document weighs its UTF-8 bytes plus 8 (a null text has none); shards' bytes come out nearly equal. Rows with
-    equal texts (null is a text of its own) share a shard unless their group exceeds nine tenths of one. Null ids,
-    sources and languages count as 0 or empty. An empty table gives no rows. A column of docs named `shard` goes.
+    equal texts (null is a text of its own) share a shard unless their group exceeds nine tenths of one, when it is cut
+    by a hash of the ids. A single long document is never cut; a shard may exceed the others by it. Null ids count as 0,
+    null sources and languages as names of their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = with_group(docs.drop("shard"), text)
-    units = stored(_units(docs, doc_id, source, lang), "shard-units")
-    ends = units.agg(F.sum("bytes").alias("all"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    at = with_group(docs, doc_id, text, source, lang, keep or docs.columns)
+    sums = (F.sum("size").alias("bytes"), *(F.min(d).alias(d) for d in DIMENSIONS))
+    groups = stored(at.groupBy(*GROUP).agg(*sums), "shard-groups")
+    ends = groups.agg(F.sum("bytes").alias("all"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     target = max(1.0, (ends["all"] or 0) / shards)
-    group = ["__h", "__crc", "__size"]
-    # At most 1 / LARGE rows for each shard, by the sizes' sum.
-    large = [tuple(r) for r in units.where(F.col("bytes") > LARGE * target).select(*group, "bytes").collect()]
-    # Groups beyond WHOLE are dealt out by a hash of the id; 1 / PIECE pieces for each shard at most.
-    cut = spark.createDataFrame([(*k, -int(-n // (PIECE * target)) if n > WHOLE * target else 1) for *k, n in large], "_h long, _crc long, _size long, _n int")
-    at = docs.join(F.broadcast(cut), (docs["__h"] == cut["_h"]) & (docs["__crc"] == cut["_crc"]) & (docs["__size"] == cut["_size"]), "left").drop("_h", "_crc", "_size")
-    at = at.withColumn("_piece", F.pmod(F.xxhash64(docs[doc_id], docs["__h"]), F.col("_n")).cast("int")).drop("_n")
-    pieces = [(*k, 0, n) for *k, n in large if n <= WHOLE * target]
-    if len(pieces) < len(large):
-        pieces = [tuple(r) for r in at.where("_piece IS NOT NULL").groupBy(*group, "_piece").agg(F.sum("__size")).collect()]
-    load, where = place_large(pieces, shards)
-    room = [max(0.0, target - x) for x in load]
-    scaled = []
+    # At most 1 / WHOLE for each shard.
+    hot = [(*(r[c] for c in GROUP), -int(-r.bytes // (PIECE * target))) for r in groups.where(F.col("bytes") > WHOLE * target).collect()]
+    cut = spark.createDataFrame(hot, "h long, crc long, size long, pieces int")
+    piece = F.coalesce(F.pmod(F.xxhash64("id", "h"), F.col("pieces")), F.lit(0)).cast("int").alias("piece")
+    rows = at.join(F.broadcast(cut), [*GROUP], "left").select("row", "id", *GROUP, *DIMENSIONS, piece)
+    whole = groups.join(F.broadcast(cut), [*GROUP], "left_anti").withColumn("piece", F.lit(0))
+    pieces = rows.join(F.broadcast(cut), [*GROUP], "left_semi").groupBy(*UNIT).agg(*sums)
+    units = whole.unionByName(pieces) if hot else whole
+    keys = []
     for i, d in enumerate(DIMENSIONS):
         lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
-        place = (F.col(d) - F.lit(lo)) / F.lit(hi - lo) * F.lit(float((1 << DIM_BITS) - 1)) if lo is not None and hi > lo else F.lit(0)
-        low = F.pmod(F.xxhash64(F.lit(i), "__h", "__crc"), F.lit(1 << HASH_BITS))
-        scaled.append(F.shiftleft(place.cast("long"), HASH_BITS) + low)
-    own = units.where(F.col("bytes") <= LARGE * target).select(*group, "bytes", F.array(*scaled).alias("keys"), F.lit(0).alias("node"))
-    small = _split(stored(own, "shard-level"), room, target).select(*[F.col(c).alias(f"_{c}") for c in group], F.col("node").alias("shard"))
-    discard(units)
-    placed = spark.createDataFrame(where, "_h long, _crc long, _size long, _p int, shard int")
-    # The few large groups go by a broadcast of bounded size; no key of the other join has over a hundredth of a shard.
-    big = at.where("_piece IS NOT NULL")
-    same = (big["__h"] == placed["_h"]) & (big["__crc"] == placed["_crc"]) & (big["__size"] == placed["_size"]) & (big["_piece"] == placed["_p"])
-    big = big.join(F.broadcast(placed), same).drop("_h", "_crc", "_size", "_p", "_piece")
-    rest = at.where("_piece IS NULL").drop("_piece")
-    rest = rest.join(small, (rest["__h"] == small["___h"]) & (rest["__crc"] == small["___crc"]) & (rest["__size"] == small["___size"])).drop("___h", "___crc", "___size")
-    return big.unionByName(rest)
-
-
-def with_slots(rows: DataFrame, doc_id: str, per_bin: int = 20_000) -> DataFrame:
-    """rows (shard, __size, __crc, __h, ...) with `slot` (long): places 0, 1, ... within each shard, without gaps.
-
-    A shard is numbered in bins of about per_bin rows; a bin begins where the bins before it end.
+        scaled = (F.col(d) - F.lit(lo)) / F.lit(hi - lo) * F.lit(float((1 << DIM_BITS) - 1)) if lo is not None and hi > lo else F.lit(0)
+        low = F.pmod(F.xxhash64(F.lit(i), "h", "crc", "piece"), F.lit(1 << HASH_BITS))
+        keys.append(F.shiftleft(scaled.cast("long"), HASH_BITS) + low)
+    units = stored(units.select(*UNIT, "bytes", F.array(*keys).alias("keys"), F.lit(0).alias("node")), "shard-level")
+    discard(groups)
+    placed = split(units, shards, target).select(*UNIT, "bytes", F.col("node").alias("shard"))
+    rows = rows.drop(*DIMENSIONS)
+    # Larger groups, at most 1 / NOTED for each shard, are known to the rows by a broadcast, so that no key of the
+    # other join has over a hundredth of a shard.
+    noted = placed.where(F.col("bytes") > NOTED * target).select(*UNIT, F.col("shard").alias("noted"))
+    rows = rows.join(F.broadcast(noted), [*UNIT], "left")
+    out = ["row", "id", "size", "crc", "h", "shard"]
+    rest = rows.where("noted IS NULL").join(placed.drop("bytes"), [*UNIT]).select(*out)
+    return rows.where("noted IS NOT NULL").withColumn("shard", F.col("noted")).select(*out).unionByName(rest)
+
+
+def with_slots(rows: DataFrame, shards: int = SHARDS, per_bin: int = 20_000) -> DataFrame:
+    """What assign() gives with `slot` (long): places 0, 1, ... within each shard, without gaps.
+
+    A shard is numbered in bins of about per_bin rows; a bin begins where the bins before it end. Rows that are equal in
+    id and text share a bin, in any order.
     """
     rows = stored(rows, "shard-rows")
-    bins = max(1, -(-rows.count() // (SHARDS * per_bin)))
-    rows = rows.withColumn("__bin", F.pmod(F.xxhash64(rows[doc_id], rows["__h"]), F.lit(bins)))
-    counts = rows.groupBy("shard", "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("shard").alias("_s"), F.col("__bin").alias("_b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy("shard", "__bin").orderBy(doc_id, "__h", "__size")
-    rows = rows.withColumn("_place", F.row_number().over(own) - 1)
-    out = rows.join(starts, (rows["shard"] == starts["_s"]) & (rows["__bin"] == starts["_b"]))
-    return out.withColumn("slot", (F.col("_start") + F.col("_place")).cast("long")).drop("_s", "_b", "_start", "_place", "__bin")
+    bins = max(1, -(-rows.count() // (shards * per_bin)))
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("id", "h"), F.lit(bins)))
+    counts = rows.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("shard", "bin").orderBy("id", "h", "size")
+    out = rows.withColumn("place", F.row_number().over(own) - 1).join(starts, ["shard", "bin"])
+    return out.select("row", "id", "size", "crc", "h", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes (contract of op1)."""
-    docs = table(spark, sf_dir, "documents")
-    rows = assign(docs).select("doc_id", "__size", "__crc", "__h", "shard")
-    return with_slots(rows, "doc_id").select(
-        "doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    rows = assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return with_slots(rows).select(
+        "row.doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

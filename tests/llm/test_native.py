@@ -177,24 +177,69 @@ def test_license_scan(spark, sf_small):
     assert L.scan(rows(spark, data).limit(0)).collect() == []
 
 
-def test_sharding(spark):
+def sharding_rows():
     data = [(k, t, ["en", "de", None][k % 3], f"src{k % 20 if k % 3 else 0}") for k, t in enumerate(texts(3000, 8))]
-    data += [(5000 + k, "a large group " * 20, "en", "src1") for k in range(1200)] + [(9000, None, None, None), (None, "x", "en", "s"), (9001, "twice", "en", "s"), (9001, "twice", "en", "s")]
-    d = S.assign(rows(spark, data))
-    out = S.with_slots(d.select("doc_id", "__size", "__crc", "__h", "shard", "text"), "doc_id").collect()
-    assert len(out) == len(data)
+    return data + [(5000 + k, "a large group " * 20, "en", "src1") for k in range(1200)] + [(9000, None, None, None), (None, "x", "en", "s"), (9001, "twice", "en", "s"), (9001, "twice", "en", "s"), (9002, "w " * 9000, "en", "s")]
+
+
+def test_sharding(spark):
+    data = sharding_rows()
+    out = S.with_slots(S.assign(rows(spark, data))).collect()
+    assert len(out) == len(data) and out[0].row.asDict().keys() == set(SCHEMA.replace(",", "").split()[::2])
     load, slots, group = Counter(), defaultdict(list), defaultdict(set)
     for r in out:
-        assert r["__size"] == len((r.text or "").encode()) + 8 and r["__crc"] == zlib.crc32((r.text or "").encode())
-        load[r.shard] += r["__size"]
+        assert r["size"] == len((r.row.text or "").encode()) + 8 and r.crc == zlib.crc32((r.row.text or "").encode())
+        load[r.shard] += r["size"]
         slots[r.shard].append(r.slot)
-        group[r.text].add(r.shard)
+        group[r.row.text].add(r.shard)
     assert set(load) == set(range(24)) and max(load.values()) < 1.05 * min(load.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for t, s in group.items() if not (t or "").startswith("a large group"))
     assert S.assign(rows(spark, data).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("shards", [24, 5])
+def test_shards_are_leaves(spark, monkeypatch, shards):
+    """Every split is found again from its node's units: what lies before the zone went left, what lies behind it right,
+    and both sides have the bytes of their leaves."""
+    seen = []
+
+    def noted(df, label, real=S.stored):
+        out = real(df, label)
+        if label == "shard-level":
+            seen.append({tuple(r[:4]): (r.bytes, r["keys"], r.node) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(S, "stored", noted)
+    assert S.assign(rows(spark, sharding_rows()), shards=shards).count() == len(sharding_rows())
+    nodes = [(0, shards)]
+    whole = sum(b for b, _, _ in seen[0].values())
+    for before, after in zip(seen, seen[1:], strict=False):
+        for a, b in [n for n in nodes if n[1] - n[0] > 1]:
+            mid = (a + b) // 2
+            units = {u: x for u, x in before.items() if x[2] == a}
+            right = {u for u in units if after[u][2] == mid}
+            assert all(after[u][2] in (a, mid) for u in units)
+            total = sum(x[0] for x in units.values())
+            got = total - sum(units[u][0] for u in right)
+            assert abs(got - total * (mid - a) / (b - a)) < 0.02 * whole / shards, (a, b)
+            wide = [max(x[1][d] >> S.HASH_BITS for x in units.values()) - min(x[1][d] >> S.HASH_BITS for x in units.values()) for d in range(4)]
+            d = wide.index(max(wide))
+            # Only units of the zone, or large ones, may stand out of order.
+            small = sorted((x[1][d], u in right) for u, x in units.items() if x[0] <= S.BIG * whole / shards)
+            first = next((i for i, (_, r) in enumerate(small) if r), len(small))
+            last = max((i for i, (_, r) in enumerate(small) if not r), default=-1)
+            assert last - first < S.ZONE
+        nodes = [n for a, b in nodes for n in ([(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > 1 else [(a, b)])]
+    assert nodes == [(k, k + 1) for k in range(shards)]
+
+
 def test_sharding_few_rows(spark):
     out = S.assign(rows(spark, [(k, "same" if k < 3 else f"t{k}", "en", "s") for k in range(5)])).collect()
     assert len(out) == 5 and all(0 <= r.shard < 24 for r in out)
+
+
+def test_sharding_clashing_columns(spark):
+    df = spark.createDataFrame([(k, f"text {k}", "en", "s", k, k, 2) for k in range(60)], "doc_id long, text string, lang string, source string, h long, node long, shard int")
+    out = S.assign(df.drop("shard")).select("row.*", "shard").collect()
+    assert {(r.doc_id, r.h, r.node) for r in out} == {(k, k, k) for k in range(60)} and len(out) == 60
