@@ -29,7 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign(docs).select(*[f"`{c}`" for c in docs.columns if c != "shard"], "shard")
+    columns = [c for c in docs.columns if c != "shard"]
+    return sharding.assign(docs, keep=columns).select("row.*", "shard")
 
 
 STAGES = [
