@@ -218,6 +218,68 @@ def test_quality(spark):
     assert kept.columns == df.columns
 
 
+def test_co_training_against_plain(spark):
+    """Fits, rounds and combination once more, over all rows at once, a row at a time."""
+    r = random.Random(9)
+    words = [f"word{k}" for k in range(60)]
+    data, labels = [], []
+    for k in range(500):
+        junk = r.random() < 0.3
+        t = " ".join(r.choice(words).upper() if junk and r.random() < 0.6 else r.choice(words) for _ in range(r.randrange(5, 60)))
+        data.append((k, t, "en", "low" if junk and r.random() < 0.8 else "high"))
+        if k < 240:
+            labels.append((k, int(not junk), 0))
+    data += data[300:310]  # repeated rows say the same
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)
+    got = Q.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), words=10, rounds=3, sure=0.9)
+    y = {i: 1 - q for i, q, _ in labels}
+    own = [d for d in data if d[0] in y]
+    pool = list({d[1:]: d for d in data if d[0] not in y}.values())
+    raw = Q.Model(sorted(got.place), 0 * got.center, 0 * got.scale + 1)
+
+    def views(docs):
+        text = raw.text_rows([d[1] for d in docs])
+        wide = len(got.place)
+        text[:, wide:] = (text[:, wide:] - got.center) / got.scale
+        return [text.astype(float), np.array([Q.meta_row(d[2], d[3], d[1]) for d in docs], float)]
+
+    lab, rest = views(own), views(pool)
+    numbers = raw.text_rows([d[1] for d in own])[:, len(got.place) :]
+    assert np.allclose(got.center, numbers.mean(0), atol=1e-5)
+    truth = np.array([y[d[0]] for d in own])
+    held = [k for k in range(len(own)) if k % 4 == 3]
+    train = [k for k in range(len(own)) if k % 4 != 3]
+    w = [Q.fit(x[train].astype(np.float32), truth[train]) for x in lab]
+    sure, moved = 0.9, []
+    prob = lambda c, x: 1 / (1 + math.exp(-max(-30, min(30, float(x @ c[:-1] + c[-1])))))
+    for _ in range(3):
+        new, used = [], 0
+        for me, other in ((0, 1), (1, 0)):
+            x = np.hstack([lab[me][train], np.ones((len(train), 1))])
+            bound = 1.3 / 4 * x.T @ x + np.diag([1.0] * (x.shape[1] - 1) + [1e-3])
+            g = np.append(w[me][:-1], 0)
+            for k in train:
+                g = g + (prob(w[me], lab[me][k]) - truth[k]) * np.append(lab[me][k], 1)
+            for value in (0, 1):
+                says = lambda c, x, v=value: prob(c, x) if v else 1 - prob(c, x)
+                asked = [k for k in held if says(w[other], lab[other][k]) >= sure]
+                taught = [k for k in range(len(pool)) if says(w[other], rest[other][k]) >= sure]
+                if taught and asked and sum(truth[k] == value for k in asked) / len(asked) >= sure - 0.01:
+                    weight = 0.3 * min(1, sum(truth[k] == value for k in train) / len(taught))
+                    used += len(taught)
+                    for k in taught:
+                        g = g + weight * (prob(w[me], rest[me][k]) - value) * np.append(rest[me][k], 1)
+            new.append(w[me] - np.linalg.solve(bound, g))
+        w = new
+        moved.append(used)
+    assert sum(moved) > 0 and got.exchanged["junk"] == moved
+    for a, b in zip(got.flaws["junk"][0], w, strict=True):
+        assert np.allclose(a, b, atol=5e-3)
+    z = np.array([[x[k] @ c[:-1] + c[-1] for c, x in zip(w, lab, strict=True)] for k in held])
+    assert np.allclose(got.flaws["junk"][1], Q.fit(z, truth[held], l2=0.1), atol=5e-2)
+    assert "toxic" not in got.flaws
+
+
 def test_quality_without_labels(spark):
     df = spark.createDataFrame([(1, "a", "en", "s")], "doc_id long, text string, lang string, source string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
