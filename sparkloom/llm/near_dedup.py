@@ -151,16 +151,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (a, b): the least node of each connected component.
 
     Alternates large and small stars until nothing changes, each round a few shuffles of narrow rows; a hub's edges are
-    joined with its one least neighbour, never gathered.
+    joined with its one least neighbour, never gathered. The joins build maps of one row for each node, dealt evenly, which
+    takes less memory than sorting and keeps the driver out of it.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("shuffle_hash"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a")
+        small = large.join(low.hint("shuffle_hash"), "a")
         to = F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", "m"))).otherwise(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))))
         spent, e = e, stored(small.select(to.alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).distinct(), "near-edges")
         discard(spent)
@@ -175,7 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _with_roots(rows: DataFrame, column: str, roots: DataFrame, into: str) -> DataFrame:
     r = roots.select(F.col("node").alias(column), F.col("root").alias(into))
-    return rows.join(r, column, "left").withColumn(into, F.coalesce(into, column))
+    return rows.join(r.hint("shuffle_hash"), column, "left").withColumn(into, F.coalesce(into, column))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -271,7 +272,7 @@ def link_roots(rows: DataFrame, signed: DataFrame, threshold: float = THRESHOLD)
     # As a table, so that the join with it has an exchange on either side, whose hot keys can be split.
     buckets = stored(buckets, "near-buckets")
     members, _ = traced(members, "key", trace(buckets, "key"))
-    members = stored(members.join(buckets, "key").distinct(), "near-members")
+    members = stored(members.join(buckets.hint("shuffle_hash"), "key").distinct(), "near-members")
     nodes = members.select("node").distinct()
     sketches, _ = traced(signed.select("node", "t", "sketch"), "node", trace(nodes, "node"))
     sketches = stored(sketches.groupBy("node").agg(F.min(F.struct("t", "sketch")).alias("x")).join(nodes, "node", "left_semi").select("node", "x.*"), "near-sketches")
