@@ -175,13 +175,13 @@ def decide(docs: DataFrame, seed: int = 20, fan_in: int = FAN_IN, **columns: str
 def mix(docs: DataFrame, **columns: str) -> DataFrame:
     """The mixed corpus: each row of docs as many times as it was decided, columns unchanged."""
     text, doc_id, source = columns.get("text", "text"), columns.get("doc_id", "doc_id"), columns.get("source", "source")
-    names = docs.columns
     chosen = decide(docs, **columns).where("copies > 0").select(
-        F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("h").alias("__h"), F.col("copies").alias("__n")
+        F.col("source").alias("to_source"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), "copies"
     )
-    at = docs.withColumn("__own", F.xxhash64(docs[text]))
-    on = at[doc_id].eqNullSafe(chosen["__i"]) & (at["__own"] == chosen["__h"]) & at[source].eqNullSafe(chosen["__s"])
-    return at.join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in names])
+    # A row travels as one struct, whatever its columns are called.
+    at = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source].alias("source"), docs[doc_id].alias("id"), F.xxhash64(docs[text]).alias("h"))
+    on = at["id"].eqNullSafe(chosen["to_id"]) & (at["h"] == chosen["to_h"]) & at["source"].eqNullSafe(chosen["to_source"])
+    return at.join(chosen, on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

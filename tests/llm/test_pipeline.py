@@ -64,3 +64,26 @@ def test_every_stage(spark, sf_small, tmp_path):
 def test_run(spark, sf_small):
     out = corpus_pipeline.run(spark, sf_small)
     assert out.columns[-1] == "shard" and out.count() > 50
+
+
+def test_run_on_odd_rows(spark, sf_small, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing extra columns, and empty tables."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    odd = [(None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, "word " * 60_000, None, "src1", 5), (900_003, "one two three", "en", None, 3)]
+    more = docs.unionByName(spark.createDataFrame([*odd, *odd], docs.schema))
+    clash = {"row": 1, "node": 2, "h": 3, "t": "x", "size": 4, "keep": True, "shard": 7, "copies": 8, "items": "y", "uid": 9, "class_id": 1, "text_": None}
+    from pyspark.sql import functions as F
+
+    more = more.withColumns({c: F.lit(v).cast("string") if v is None else F.lit(v) for c, v in clash.items()})
+    columns = more.columns
+    seen = more
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, seen, sf_small)
+        assert out.columns == (columns if k < 4 else [c for c in columns if c != "shard"] + ["shard"])
+        out.write.parquet(f"{tmp_path}/{k}")
+        seen = spark.read.parquet(f"{tmp_path}/{k}")
+    last = seen.collect()
+    assert len(last) > 50 and all(r.h == 3 and r.t == "x" and r.copies == 8 and 0 <= r.shard < 24 for r in last)
+    empty = more.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_small).collect() == []
