@@ -10,9 +10,13 @@ hash. Between buckets only the restaurants' totals are shared. A restaurant's to
 hash: after each sweep a bucket sends each shard its tables in the contexts it has, and the shard answers with the sums,
 in the same order; so no process holds all contexts. A sweep reseats, bucket by bucket, all customers of a dish in turn,
 each at a new table with the Chinese restaurant's probability given the totals of the sweep before; a chain can be run
-again from its recorded totals and seeds, so no seating is stored, and a lost task repeats it. From the sixteenth
-customer on, up to an eighth of those seated come in at once and draw their new tables by one binomial. Predictive
-probabilities are averaged over the sweeps after ``burn``.
+again from its recorded totals, so no seating is stored, and a lost task repeats it. From the sixteenth customer on, up to
+an eighth of those seated come in at once and draw their new tables by one binomial. After each sweep the strengths of
+the contexts and of the root are drawn from their conditional given expected auxiliary variables, which the shards sum.
+Predictive probabilities are averaged over the sweeps after ``burn``.
+
+All draws of a dish come from hashes of word, context, sweep and customer, so the result doesn't depend on how the rows
+or the words are dealt out.
 
 Words never move as text. A batch of documents is written once as integers, with a request for each bucket: hashes of
 the batch's distinct words, of the contexts they follow, how often in training documents. A bucket answers each request
@@ -26,6 +30,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, scratch_dir, stored, table, tokens_of
+from .common import _on, discard, scratch_dir, stored, table, tokens_of
 from .token_counts import sliced
 
 BATCH_CHARS, BUCKET_BYTES = 8_000_000, 24_000_000
@@ -42,9 +47,9 @@ END = b"\n"  # stands in no token
 
 CORPUS = "batch long, ids array<long>, held array<boolean>, lengths binary, words binary, hashes binary"
 REQUESTS = "batch long, bucket int, hashes binary, runs binary, context_hashes binary, contexts binary, counts binary"
-MODEL = "bucket int, pair_word binary, pair_context binary, pair_count binary, context_hashes binary, batches array<long>, sizes array<long>, asked binary"
+MODEL = "bucket int, word_hashes binary, pair_word binary, pair_context binary, pair_count binary, context_hashes binary, batches array<long>, sizes array<long>, asked binary"
 SENT = "shard int, bucket int, hashes binary, customers binary, tables binary, sums array<long>"
-TOTALS = "bucket int, shard int, number int, customers binary, tables binary"
+TOTALS = "bucket int, shard int, number int, customers binary, tables binary, places binary, sums array<double>"
 ANSWER = "batch long, bucket int, logs binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -129,7 +134,7 @@ def model_bucket(bucket: int, rows: pd.DataFrame) -> dict:
     """Sums the requests of all batches: the bucket's pairs with their counts, and which pairs each request asks
     for, as steps from one to the next: both are in order of (word hash, context hash). Context k, from 1, is the k-th of context_hashes."""
     rows = rows.sort_values("batch")
-    _, words = numbered(rows["hashes"])
+    word_hashes, words = numbered(rows["hashes"])
     words = [np.repeat(w, unpacked(x, np.uint32)) for w, x in zip(words, rows["runs"], strict=True)]
     contexts, places = numbered(rows["context_hashes"])
     wide = len(contexts) + 1
@@ -138,7 +143,7 @@ def model_bucket(bucket: int, rows: pd.DataFrame) -> dict:
     count = np.bincount(asked, weights=np.concatenate([unpacked(x, np.uint32) for x in rows["counts"]]), minlength=len(pair))
     steps = [np.diff(x, prepend=0) for x in np.split(asked, np.cumsum([len(w) for w in words])[:-1])]
     return {
-        "bucket": bucket, "pair_word": packed((pair // wide).astype(np.int32)), "pair_context": packed((pair % wide).astype(index_type(wide))),
+        "bucket": bucket, "word_hashes": word_hashes.tobytes(), "pair_word": packed((pair // wide).astype(np.int32)), "pair_context": packed((pair % wide).astype(index_type(wide))),
         "pair_count": packed(count.astype(np.int64)), "context_hashes": contexts.tobytes(), "batches": rows["batch"].tolist(),
         "sizes": [len(w) for w in words], "asked": packed(np.concatenate(steps).astype(np.uint32)),
     }
@@ -151,21 +156,82 @@ def opened(rows: pd.DataFrame) -> dict:
     return row | {k: unpacked(row[k], np.uint8) for k in ("pair_word", "pair_context", "pair_count")}
 
 
-def seat(rng: np.random.Generator, customers: np.ndarray, strength: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of a dish after all its customers sat down in turn. strength: (theta + discount * tables of the
-    restaurant) times the parent's probability of the dish."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64's output function."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draw(keys: np.ndarray, turn: int) -> np.ndarray:
+    """A number between 0 and 1 for each key and turn."""
+    return ((mixed(keys + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def binomial(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The u-quantiles of binomials, of the normal distribution where both outcomes are frequent."""
+    out, mean = np.zeros(len(u), np.int64), n * p
+    wide = (mean > 30) & (n - mean > 30)
+    if wide.any():
+        normal = NormalDist().inv_cdf
+        z = np.array([normal(x) for x in u[wide]])
+        out[wide] = np.clip(np.rint(mean[wide] + z * np.sqrt(mean[wide] * (1 - p[wide]))), 0, n[wide]).astype(np.int64)
+    # By the rarer outcome; of the other one there is the rest.
+    at = np.flatnonzero(~wide)
+    turned = p[at] > 0.5
+    q = np.clip(np.where(turned, 1 - p[at], p[at]), 0, 0.5)
+    number, left, size = np.zeros(len(at), np.int64), u[at].copy(), n[at]
+    mass, live, k = np.exp(size * np.log1p(-q)), np.arange(len(at)), 0
+    while len(live):
+        left[live] -= mass[live]
+        live = live[(left[live] > 0) & (k < size[live])]
+        mass[live] *= (size[live] - k) / (k + 1) * q[live] / (1 - q[live])
+        k += 1
+        number[live] = k
+    out[at] = np.where(turned, size - number, number)
+    return out
+
+
+def seat(keys: np.ndarray, customers: np.ndarray, strength: np.ndarray, discount: float) -> np.ndarray:
+    """Tables of a dish after all its customers sat down in turn; keys are what its draws come from. strength: (theta +
+    discount * tables of the restaurant) times the parent's probability of the dish."""
     tables = np.minimum(customers, 1).astype(np.int64)
     at, seated = np.flatnonzero(customers > 1), 1
     while len(at):
         block = np.minimum(max(1, seated // 8), customers[at] - seated)
         a = strength[at]
-        p = a / (a + seated + (block - 1) / 2 - discount * tables[at])
-        tables[at] += rng.binomial(block, np.clip(p, 0, 1)) if seated >= 16 else rng.random(len(at)) < p
+        p = np.clip(a / (a + seated + (block - 1) / 2 - discount * tables[at]), 0, 1)
+        u = draw(keys[at], seated)
+        tables[at] += binomial(u, block, p) if seated >= 16 else u < p
         seated += max(1, seated // 8)
         at = at[customers[at] > seated]
     return tables
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The logarithmic derivative of the gamma function, from its series for large numbers."""
+    x = np.asarray(x, np.float64)
+    out = np.zeros_like(x)
+    for k in range(6):
+        out -= 1 / (x + k)
+    x = x + 6
+    return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def auxiliary(customers: np.ndarray, tables: np.ndarray, theta: float, discount: float) -> tuple[float, float]:
+    """Shape and rate that restaurants add to the gamma distribution of their strength: how many of their tables after the
+    first the strength is expected to have opened, and minus the expected logarithm of their beta variables."""
+    many = customers > 1
+    c, t = customers[many].astype(np.float64), tables[many].astype(np.float64)
+    x = theta / discount
+    return float((x * (digamma(x + t) - digamma(x + 1))).sum()), float((digamma(theta + c) - digamma(np.full(len(c), theta + 1.0))).sum())
+
+
+def strength(seed: int, sweep: int, level: int, shape: float, rate: float) -> float:
+    """Drawn with a gamma(1, 1) prior."""
+    return max(1e-3, float(np.random.default_rng((seed, sweep, level)).gamma(1 + shape, 1 / (1 + rate))))
+
+
 #: Sums over all buckets: training tokens and types, dishes served once and twice in contexts and in the root, root customers.
 FIRST = ("tokens", "types", "ones", "twos", "root_ones", "root_twos", "root_customers")
 
@@ -188,10 +254,10 @@ class Totals:
 
 
 class Chain:
-    """The Gibbs chain of one bucket."""
+    """The Gibbs chain of one bucket. thetas: strengths of contexts and root, for each sweep and after it."""
 
-    def __init__(self, row: dict, totals: Totals, theta: float = THETA, seed: int = SEED):
-        self.t, self.theta, self.seed, self.bucket = totals, theta, seed, row["bucket"]
+    def __init__(self, row: dict, totals: Totals, thetas: list[tuple[float, float]] | None = None, seed: int = SEED):
+        self.t, self.thetas = totals, thetas or [(THETA, THETA)]
         self.word = np.frombuffer(row["pair_word"], np.int32)
         self.context = np.frombuffer(row["pair_context"], index_type(self.t_wide)).astype(np.int64)
         self.count = np.frombuffer(row["pair_count"], np.int64)
@@ -202,6 +268,11 @@ class Chain:
         self.tables = self.served.astype(np.int64)
         self.root = self.direct + self._up()
         self.root_tables = np.minimum(self.root, 1)
+        self.keys = mixed(np.frombuffer(row["word_hashes"], np.uint64) + np.uint64(seed))
+        # Dishes of one customer have one table in every sweep.
+        self.several = np.flatnonzero(self.served & (self.count > 1))
+        contexts = np.frombuffer(row["context_hashes"], np.uint64)
+        self.pair_keys = mixed(self.keys[self.word[self.several]] ^ contexts[self.context[self.several] - 1])
 
     def _up(self) -> np.ndarray:
         return np.bincount(self.word, weights=self.tables, minlength=self.n_words).astype(np.int64)
@@ -221,30 +292,33 @@ class Chain:
         """Tables in each context."""
         return np.bincount(self.context, weights=self.tables, minlength=wide).astype(np.int64)
 
-    def parent(self, shared: tuple[np.ndarray, float, float]) -> np.ndarray:
+    def theta(self, number: int) -> tuple[float, float]:
+        return self.thetas[min(number, len(self.thetas) - 1)]
+
+    def parent(self, shared: tuple[np.ndarray, float, float], theta: float) -> np.ndarray:
         """The root's probability of each word."""
         _, tables, customers = shared
-        base = (self.theta + self.t.d0 * tables) / (self.t.types + 1)
-        return (np.maximum(self.root - self.t.d0 * self.root_tables, 0) + base) / (self.theta + customers)
+        base = (theta + self.t.d0 * tables) / (self.t.types + 1)
+        return (np.maximum(self.root - self.t.d0 * self.root_tables, 0) + base) / (theta + customers)
 
     def sweep(self, number: int) -> None:
-        """Reseats everyone, given the totals after sweep number - 1."""
-        shared = self.t.sweeps[number - 1]
-        rng = np.random.default_rng((self.seed, self.bucket, number))
-        strength = (self.theta + self.t.d1 * shared[0][self.context]) * self.parent(shared)[self.word]
-        self.tables = np.zeros_like(self.count)
-        self.tables[self.served] = seat(rng, self.count[self.served], strength[self.served], self.t.d1)
+        """Reseats everyone, given the totals and strengths after sweep number - 1."""
+        shared, (theta, root_theta) = self.t.sweeps[number - 1], self.theta(number - 1)
+        turn = np.uint64(number * 0xD1342543DE82EF95 & (1 << 64) - 1)
+        at = self.several
+        strong = (theta + self.t.d1 * shared[0][self.context[at]]) * self.parent(shared, root_theta)[self.word[at]]
+        self.tables[at] = seat(self.pair_keys + turn, self.count[at], strong, self.t.d1)
         self.root = self.direct + self._up()
-        base = (self.theta + self.t.d0 * shared[1]) / (self.t.types + 1)
-        self.root_tables = seat(rng, self.root, np.full(len(self.root), base), self.t.d0)
+        base = (root_theta + self.t.d0 * shared[1]) / (self.t.types + 1)
+        self.root_tables = seat(self.keys + turn, self.root, np.full(len(self.root), base), self.t.d0)
 
     def predict(self, number: int) -> np.ndarray:
-        """Probability of each pair's word after its context, given the totals after sweep `number`."""
-        shared = self.t.sweeps[number]
-        p = self.parent(shared)[self.word]
+        """Probability of each pair's word after its context, given the totals and strengths after sweep `number`."""
+        shared, (theta, root_theta) = self.t.sweeps[number], self.theta(number)
+        p = self.parent(shared, root_theta)[self.word]
         u = self.context
-        own = np.maximum(self.count - self.t.d1 * self.tables, 0) + (self.theta + self.t.d1 * shared[0][u]) * p
-        return np.where(u == 0, p, own / (self.theta + self.t.customers[u]))
+        own = np.maximum(self.count - self.t.d1 * self.tables, 0) + (theta + self.t.d1 * shared[0][u]) * p
+        return np.where(u == 0, p, own / (theta + self.t.customers[u]))
 
 
 def by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -268,16 +342,31 @@ def sent(row: dict, shards: int, tables: np.ndarray, sums: list[int], customers:
     return pd.DataFrame(out)
 
 
-def shard_totals(first: pd.DataFrame, rows: pd.DataFrame, names: tuple[str, ...], number: int) -> pd.DataFrame:
-    """A shard's totals over all buckets, for each bucket in the order it sent; `first` has the hashes of that order."""
-    first, rows = first.sort_values("bucket"), rows.sort_values("bucket")
-    _, places = numbered(first["hashes"])
+def first_totals(rows: pd.DataFrame) -> pd.DataFrame:
+    """A shard's totals over all buckets, for each bucket in the order it sent, with the places of its contexts in the
+    shard's list; and, as bucket -1, the customers of all of these."""
+    rows = rows.sort_values("bucket")
+    _, places = numbered(rows["hashes"])
     at = np.concatenate(places)
-    out = {"bucket": rows["bucket"].to_numpy(), "shard": rows["shard"].to_numpy(), "number": number, "customers": None}
-    for name in names:
-        total = np.bincount(at, weights=np.concatenate([unpacked(x, np.int64) for x in rows[name]])).astype(np.int64)
-        out[name] = [packed(total[p]) for p in places]
-    return pd.DataFrame(out)
+    customers, tables = (np.bincount(at, weights=np.concatenate([unpacked(x, np.int64) for x in rows[name]])).astype(np.int64) for name in ("customers", "tables"))
+    own = [(b, packed(customers[p]), packed(tables[p]), packed(np.diff(p, prepend=0).astype(np.uint32))) for b, p in zip(rows["bucket"], places, strict=True)]
+    out = pd.DataFrame([*own, (-1, packed(customers), None, None)], columns=["bucket", "customers", "tables", "places"])
+    return out.assign(shard=int(rows["shard"].iloc[0]), number=0, sums=None)[_columns(TOTALS)]
+
+
+def shard_totals(first: pd.DataFrame, rows: pd.DataFrame, number: int, theta: float, discount: float) -> pd.DataFrame:
+    """The same after a sweep; and, as bucket -1, what the shard's restaurants tell of their strength."""
+    first, rows = first.sort_values("bucket"), rows.sort_values("bucket")
+    customers = unpacked(first["customers"].iloc[0], np.int64)
+    places = [np.cumsum(unpacked(x, np.uint32), dtype=np.int64) for x in first["places"].iloc[1:]]
+    total = np.bincount(np.concatenate(places), weights=np.concatenate([unpacked(x, np.int64) for x in rows["tables"]])).astype(np.int64)
+    own = [(b, packed(total[p]), None) for b, p in zip(rows["bucket"], places, strict=True)]
+    out = pd.DataFrame([*own, (-1, None, list(auxiliary(customers, total, theta, discount)))], columns=["bucket", "tables", "sums"])
+    return out.assign(shard=int(rows["shard"].iloc[0]), number=number, customers=None, places=None)[_columns(TOTALS)]
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def bucket_totals(row: dict, rows: pd.DataFrame, sums: list[list[int]], shards: int) -> Totals:
@@ -302,6 +391,8 @@ def in_buckets(df: DataFrame, buckets: int, by: str, label: str) -> DataFrame:
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, by).saveAsTable(name)
+    at, files = _on(spark, path)
+    files.deleteOnExit(at)
     out = spark.table(name)
     out._stored_at = path
     return out
@@ -356,46 +447,55 @@ def score(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "
                 first = Chain(row, len(row["context_hashes"]) // 8 + 1).start()
                 yield sent(row, buckets, first["tables"], [first[k] for k in FIRST], first["customers"])
 
-    narrow = model.select("bucket", "pair_word", "pair_context", "pair_count", "context_hashes")
+    narrow = model.select("bucket", "word_hashes", "pair_word", "pair_context", "pair_count", "context_hashes")
+
+    def summed_up(said: DataFrame, width: int) -> list[float]:
+        one = said.agg(*(F.sum(F.col("sums")[k]) for k in range(width))).first()
+        return [x or 0 for x in one]
+
+    said = stored(narrow.mapInPandas(started, SENT), "lm-sent")
+    sums = [[int(x) for x in summed_up(said.where("shard < 0"), len(FIRST))]]
+    dealt = said.where("shard >= 0").repartition(buckets, "shard").groupBy("shard").applyInPandas(first_totals, TOTALS)
+    first = in_buckets(dealt, buckets, "shard", "lm_first")
+    discard(said)
+    spark.sparkContext._jvm.System.gc()
+    totals = first.where("bucket >= 0").drop("places")
+    # Discounts as Totals has them; strengths begin with THETA.
+    thetas, fixed = [(THETA, THETA)], Totals(0, dict(zip(FIRST, sums[0], strict=True)) | {"customers": [], "tables": []})
 
     # Functions of their own, as Spark tells what a function is given from how many parameters it has.
-    def sweeper(number: int, sums: list[list[int]]):
+    def sweeper(number: int, sums: list[list[int]], thetas: list[tuple[float, float]]):
         def swept(rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
             row = opened(rows)
-            c = Chain(row, bucket_totals(row, shared, sums, buckets), seed=seed)
+            c = Chain(row, bucket_totals(row, shared, sums, buckets), thetas, seed)
             for k in range(1, number + 1):
                 c.sweep(k)
             return sent(row, buckets, c.sums(c.t_wide), [int(c.root_tables.sum()), int(c.root.sum())])
 
         return swept
 
-    def adder(number: int):
+    def adder(number: int, theta: float, discount: float):
         def added(first: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            return shard_totals(first, rows, ("tables",), number)
+            return shard_totals(first, rows, number, theta, discount)
 
         return added
 
-    def summed_up(said: DataFrame, width: int) -> list[int]:
-        one = said.where("shard < 0").agg(*(F.sum(F.col("sums")[k]) for k in range(width))).first()
-        return [int(x or 0) for x in one]
-
-    first = in_buckets(narrow.mapInPandas(started, SENT).repartition(buckets, "shard"), buckets, "shard", "lm_first")
-    sums = [summed_up(first, len(FIRST))]
-    dealt = first.where("shard >= 0")
-    totals = stored(dealt.groupBy("shard").applyInPandas(lambda rows: shard_totals(rows, rows, ("customers", "tables"), 0), TOTALS), "lm-totals")
-    links = dealt.select("shard", "bucket", "hashes")
+    links = first.select("shard", "bucket", "customers", "places").withColumn("customers", F.when(F.col("bucket") < 0, F.col("customers")))
     for number in range(1, sweeps + 1):
-        said = stored(narrow.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInPandas(sweeper(number, sums), SENT), "lm-sent")
-        sums = [*sums, summed_up(said, 2)]
+        said = stored(narrow.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInPandas(sweeper(number, sums, thetas), SENT), "lm-sent")
+        sums = [*sums, [int(x) for x in summed_up(said.where("shard < 0"), 2)]]
         tables = said.where("shard >= 0").select("shard", "bucket", "tables")
-        totals = totals.unionByName(stored(links.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(adder(number), TOTALS), "lm-totals"))
+        new = stored(links.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(adder(number, thetas[-1][0], fixed.d1), TOTALS), "lm-totals")
+        root = auxiliary(np.array([sums[-1][1]]), np.array([sums[-1][0]]), thetas[-1][1], fixed.d0) if sums[-1][1] else (0.0, 0.0)
+        theirs = summed_up(new.where("bucket < 0"), 2)
+        thetas = [*thetas, (strength(seed, number, 1, *theirs), strength(seed, number, 0, *root))]
+        totals = totals.unionByName(new.where("bucket >= 0").drop("places"))
         discard(said)
         spark.sparkContext._jvm.System.gc()
-    discard(first)
 
     def answered(rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         row = opened(rows)
-        c = Chain(row, bucket_totals(row, shared, sums, buckets), seed=seed)
+        c = Chain(row, bucket_totals(row, shared, sums, buckets), thetas, seed)
         p = np.zeros(len(c.count))
         for k in range(1, sweeps + 1):
             c.sweep(k)
