@@ -1,12 +1,16 @@
 """Line dedup by content-defined chunks of lines, in DataFrame and SQL functions only.
 
 A rolling hash over the hashes of a line and the one before it decides where a chunk ends, so boundaries depend on
-nearby lines alone and an inserted line shifts no later chunk. A chunk of two lines or more that stands in several
-places is kept where it stands first (least doc_id, then place) and removed elsewhere.
+nearby lines alone and an inserted line shifts no later chunk. Chunks come in two sizes: between the lines that the hash
+marks (one in DIVISOR), so that a long passage is a few chunks; and, as no marked line need lie in a short passage or
+near its ends, every two lines in a row. A chunk of two lines or more with LEAST words that stands in several places is
+kept where it stands first (least doc_id, then place); elsewhere its lines are removed. So all of a repeated passage of
+two lines or more goes, whatever stands around it; single lines stay.
 
-Places of each chunk hash are counted first, as narrow rows with partial aggregates; only chunks whose hash repeats
-carry their text on, and the final grouping is by the text itself, that is, by comparing its bytes. A hot chunk is one
-row of the counts, and its places are matched against it by a join that adaptive execution splits.
+Places of each chunk hash are counted first, as narrow rows with partial aggregates; only chunks whose hash repeats carry
+their text on (a broadcast bitmap of fixed size spares the others an exchange), and the final grouping is by the text
+itself, that is, by comparing its bytes. A hot chunk is one row of the counts, and its places are matched against it by a
+join that adaptive execution splits. A document's text moves only if something is removed from it.
 """
 
 from __future__ import annotations
@@ -14,66 +18,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table, trace, traced
 
-#: One line in DIVISOR ends a chunk, by its rolling hash; chunks of fewer lines than LEAST stay.
-DIVISOR, LEAST = 4, 2
+#: One line in DIVISOR ends a chunk, by its rolling hash; chunks of fewer words than LEAST stay.
+DIVISOR, LEAST = 4, 10
 
-#: Repeated hashes up to this many (some 30 MB) are broadcast, so that only their chunks' texts move; more are joined.
-KEYS = 1_000_000
-
-#: Lines of a text t; ends of chunks; the chunks. Each is bound to a name once, as a lambda evaluates its body per line.
-_CHUNKS = """
+#: Lines of a text t, their words and hashes; lines that end a chunk; the chunks as first line and number of lines. Each
+#: is bound to a name once, as a lambda evaluates its body per line.
+_CHUNKS = r"""
 transform(array(split(t, '\\n')), l ->
  transform(array(transform(l, x -> md5(x))), h ->
-  transform(array(transform(sequence(0, size(l) - 1), i -> i > 0 AND pmod(cast(conv(right(md5(concat(get(h, i - 1), get(h, i))), 6), 16, 10) AS bigint), {divisor}) = 0)), f ->
-   transform(array(filter(sequence(0, size(l) - 1), i -> i = size(l) - 1 OR (get(f, i) AND NOT get(f, i - 1)))), e ->
-    transform(e, (x, j) -> named_struct(
-      'lines', if(j = 0, x + 1, x - get(e, j - 1)),
-      'text', array_join(slice(l, if(j = 0, 1, get(e, j - 1) + 2), if(j = 0, x + 1, x - get(e, j - 1))), '\\n')))
-   )[0])[0])[0])[0]
+  transform(array(transform(l, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))), w ->
+   transform(array(transform(sequence(0, size(l) - 1), i -> i > 0 AND pmod(cast(conv(right(md5(concat(get(h, i - 1), get(h, i))), 6), 16, 10) AS bigint), {divisor}) = 0)), f ->
+    transform(array(filter(sequence(0, size(l) - 1), i -> i = size(l) - 1 OR (get(f, i) AND NOT get(f, i - 1)))), e ->
+     named_struct('lines', size(l), 'ends', size(e), 'chunks',
+      transform(filter(concat(
+        filter(transform(e, (x, j) -> named_struct('i', if(j = 0, 0, get(e, j - 1) + 1), 'n', if(j = 0, x + 1, x - get(e, j - 1)))), c -> c.n > 2),
+        if(size(l) < 2, cast(array() AS array<struct<i: int, n: int>>), transform(sequence(0, size(l) - 2), i -> named_struct('i', i, 'n', 2)))),
+       c -> aggregate(slice(w, c.i + 1, c.n), 0, (s, x) -> s + x) >= {least}),
+       c -> named_struct('i', c.i, 'n', c.n, 'text', array_join(slice(l, c.i + 1, c.n), '\n'))))
+    )[0])[0])[0])[0])[0]
 """
 
 
-def chunks(text: str = "t", divisor: int = DIVISOR) -> F.Column:
-    """array<struct<lines, text>> of the column named by `text`; joined by line ends they give the text back."""
-    return F.expr(_CHUNKS.format(divisor=divisor).replace("split(t,", f"split({text},"))
+def chunks(text: str = "t", divisor: int = DIVISOR, least: int = LEAST) -> F.Column:
+    """struct<lines, ends, chunks: array<struct<i, n, text>>> of the column named by `text`: its number of lines and of
+    content-defined chunks, and the chunks of two lines or more with `least` words."""
+    return F.expr(_CHUNKS.format(divisor=divisor, least=least).replace("split(t,", f"split({text},"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
-    """Per row of docs: row (a struct of its columns), n_lines, n_chunks, removed (places of removed chunks), kept
-    (the text without them).
+    """Per row of docs: row (a struct of its columns), n_lines, n_chunks (content-defined ones), removed (numbers of the
+    removed lines, from 0, in order), kept (the text without them).
 
     A chunk inside a document that repeats an earlier one of the same document goes too. Rows that are equal in id and
     text count as one document and fare alike. Null ids come last, so that such rows keep a chunk only if no row with
     an id has it. A null text stays null, with no lines and no chunks; an empty table gives an empty one.
     """
     last = F.lit((1 << 63) - 1)
-    at = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[doc_id].cast("long"), last).alias("did"),
-        F.xxhash64(docs[text]).alias("h"), docs[text].alias("t"),
-    )
-    narrow = at.where("t IS NOT NULL").select("did", "h", chunks(divisor=divisor).alias("c"))
-    long_ = F.expr(f"filter(transform(c, (x, i) -> named_struct('i', i, 'lines', x.lines, 'text', x.text)), x -> x.lines >= {least})")
-    places = narrow.select("did", "h", F.explode(long_).alias("x")).select(
-        "did", "h", F.col("x.i").alias("i"), F.col("x.text").alias("text"), F.xxhash64("x.text").alias("key")
-    )
-    counts = places.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    did = F.coalesce(docs[doc_id].cast("long"), last)
+    at = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), did.alias("did"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("t"))
+    at = at.withColumn("g", F.when(F.col("t").isNotNull(), F.xxhash64("did", "h")))
+    found = at.where("t IS NOT NULL").select("did", "h", chunks(divisor=divisor, least=least)["chunks"].alias("c"))
+    places = found.select("did", "h", F.explode("c").alias("x")).select("did", "h", "x.*", F.xxhash64("x.text").alias("key"))
     # Tables, so that a join with them has an exchange on either side, whose hot keys can be split.
-    counts = stored(counts, "line-keys")
-    keys = F.broadcast(counts) if counts.count() <= KEYS else counts.hint("merge")
-    repeated = stored(places.join(keys, "key"), "line-chunks")
-    first = repeated.groupBy("key", "text").agg(F.min(F.struct("did", "h", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stored(first.drop("n"), "line-first")
-    gone = repeated.join(first, ["key", "text"]).where(F.struct("did", "h", "i") != F.col("first"))
-    gone = gone.groupBy(F.col("did").alias("_did"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_set("i")).alias("removed"))
-    out = at.join(gone.hint("merge"), (at["did"] == gone["_did"]) & (at["h"] == gone["_h"]), "left")
+    keys = stored(places.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "line-keys")
+    repeated, _ = traced(places, "key", trace(keys, "key"))
+    repeated = stored(repeated.join(keys, "key"), "line-chunks")
+    place = F.struct("did", "h", "i")
+    first = repeated.groupBy("key", "text").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").drop("end")
+    first = stored(first, "line-first")
+    gone = repeated.join(first, ["key", "text"]).where(place != F.col("first")).select("did", "h", F.explode(F.expr("sequence(i, i + n - 1)")).alias("line"))
+    gone = stored(gone.groupBy("did", "h").agg(F.sort_array(F.collect_set("line")).alias("removed")), "line-gone")
+    discard(keys, repeated, first)
+
+    some, whole = traced(at, "g", stored(trace(gone.select(F.xxhash64("did", "h").alias("g")), "g"), "line-trace"))
     none = F.array().cast("array<int>")
-    out = out.select("row", F.coalesce("removed", none).alias("removed"), "t", chunks(divisor=divisor).alias("c"))
-    kept = F.when(F.size("removed") == 0, F.col("t")).otherwise(F.expr("array_join(transform(filter(c, (x, i) -> NOT array_contains(removed, i)), x -> x.text), '\n')"))
-    lines = F.coalesce(F.expr("aggregate(c, 0, (s, x) -> s + x.lines)"), F.lit(0))
-    gone_lines = F.coalesce(F.expr("aggregate(filter(c, (x, i) -> array_contains(removed, i)), 0, (s, x) -> s + x.lines)"), F.lit(0))
-    return out.select("row", lines.alias("n_lines"), F.greatest(F.coalesce(F.size("c"), F.lit(0)), F.lit(0)).alias("n_chunks"), "removed", gone_lines.alias("removed_lines"), kept.alias("kept"))
+    some = some.join(gone, ["did", "h"], "left").select("row", F.coalesce("removed", none).alias("removed"), "t")
+    out = some.unionByName(whole.select("row", none.alias("removed"), "t"))
+    # Both array_except and the lookups take time in proportion to the lines.
+    kept = F.expr("transform(array(split(t, '\\\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), removed), i -> get(l, i)), '\\n'))[0]")
+    own = chunks(divisor=divisor, least=1 << 30)
+    out = out.select("row", "removed", "t", own.alias("c"))
+    return out.select(
+        "row", F.coalesce("c.lines", F.lit(0)).alias("n_lines"), F.coalesce("c.ends", F.lit(0)).alias("n_chunks"), "removed",
+        F.when(F.size("removed") == 0, F.col("t")).otherwise(kept).alias("kept"),
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +91,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_chunks").cast("long").alias("n_chunks"),
-        F.size("removed").cast("long").alias("n_removed"), F.col("removed_lines").cast("long").alias("removed_lines"),
-        F.coalesce(F.octet_length("kept"), F.lit(0)).cast("long").alias("kept_bytes"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.size("removed").cast("long").alias("removed_lines"), F.coalesce(F.octet_length("kept"), F.lit(0)).cast("long").alias("kept_bytes"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

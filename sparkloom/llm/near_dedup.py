@@ -7,10 +7,8 @@ A link is a weighted (1 + ln count) or a plain Jaccard similarity of five-word s
    node the bands of its signature and a sketch (8 bits of each coordinate). A node with repeated shingles is signed
    twice, by the weights and by the plain set, which for all others is the same signature; so both kinds of links share
    buckets: with 32 bands of 4 coordinates a pair of similarity 0.8 of either kind shares none with probability 5e-8.
-2. Nodes that share a band's bucket are candidates. A bucket's hub is its least node. Pairs of a node with its hubs pass
-   a comparison of sketches and are then compared on their whole texts, first each node with the hub that it shares
-   most buckets with, then, for those that are still in different classes, with its other hubs. Each round ends in
-   connected components.
+2. Nodes that share a band's bucket are candidates. A bucket's hub is its least node. Pairs of a node with its hubs are
+   compared by sketch and, where that may reach the threshold, on their whole texts; links make connected components.
 3. A bucket whose members are then still in several classes has all its members of different classes compared in
    blocks of bounded size, by sketch and, where that may reach the threshold, by their whole shingle sets, which travel
    with the members. A pair is compared in the first bucket that it shares. A block sends on only links, and none
@@ -101,52 +99,45 @@ def _grouped_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tupl
         yield key, own
 
 
-def _with_hubs(pairs: DataFrame, payload: DataFrame, prepare, like) -> DataFrame:
-    """Those of the pairs (a, b) for which like(a's, b's payload) holds; payload: (node, own), prepared by the slice.
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The links among pairs (a, b): those whose texts (node, text, sketch) are similar.
 
-    A hub that many pairs have is sent once for each GROUP of them, so no task gets an unbounded group."""
+    A b that many pairs have is sent once for each GROUP of them, so no task gets an unbounded group."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    own = pairs.select("a", "b").join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    own = pairs.select("a", "b").join(sizes.hint("shuffle_hash"), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     members = own.select("b", "part", F.lit(1).alias("role"), F.col("a").alias("node"))
     hubs = own.select("b", "part").distinct().select("b", "part", F.lit(0).alias("role"), F.col("b").alias("node"))
-    rows = members.unionByName(hubs).join(payload, "node").select("b", "part", "role", "node", "own")
+    rows = members.unionByName(hubs).join(texts, "node").select("b", "part", "role", "node", "text", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = None
+        hub, hub_marks, hub_set = None, None, None
         for b in batches:
-            a_, b_ = [], []
-            at = 0
-            for payloads in sliced(b.column(4)):
-                own = b.slice(at, len(payloads))
-                at += len(payloads)
-                for h, role, node, x in zip(*(own.column(i).to_pylist() for i in (0, 2, 3)), prepare(payloads), strict=True):
-                    if role == 0:
-                        hub = x
-                    elif like(x, hub):
-                        a_.append(node)
-                        b_.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+            found = []
+            marks = list(zip(*both_sketches(b.column(5).to_pylist()), strict=True))
+            heads, roles, nodes = (b.column(i).to_pylist() for i in (0, 2, 3))
+            todo = []
+            for k, role in enumerate(roles):
+                if role == 0:
+                    hub, hub_marks = k, marks[k]
+                    todo.append(k)
+                elif max(int((marks[k][0] == hub_marks[0]).sum()), int((marks[k][1] == hub_marks[1]).sum())) >= AGREE:
+                    todo.append(k)
+            for first in range(0, len(todo), SIGNED):
+                at = todo[first : first + SIGNED]
+                part = b.column(4).take(pa.array(at))
+                for texts_ in sliced(part):
+                    for k, (s, c, _) in zip(at, M.shingles(texts_), strict=False):
+                        if roles[k] == 0:
+                            hub_set = (s, c)
+                        elif max(M.similarity((s, c), hub_set)) >= threshold - 1e-9:
+                            found.append((nodes[k], heads[k]))
+                    at = at[len(texts_) :]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     n = grouped(pairs, pairs.count(), PAIRS)
     return rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(compare, "a long, b long")
 
 
-def sieve(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of the pairs whose sketches (node, sketch) may be of a link."""
-    return _with_hubs(
-        pairs, sketches.select("node", F.col("sketch").alias("own")), lambda marks: list(zip(*both_sketches(marks), strict=True)),
-        lambda x, y: max(int((x[0] == y[0]).sum()), int((x[1] == y[1]).sum())) >= AGREE,
-    )
-
-
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The links among the pairs: those whose texts (node, text) are similar."""
-    return _with_hubs(
-        pairs, texts.select("node", F.col("text").alias("own")), lambda own: [s[:2] for s in M.shingles(own)],
-        lambda x, y: max(M.similarity(x, y)) >= threshold - 1e-9,
-    )
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (a, b): the least node of each connected component.
 
@@ -154,21 +145,20 @@ def components(edges: DataFrame) -> DataFrame:
     joined with its one least neighbour, never gathered. The joins build maps of one row for each node, dealt evenly, which
     takes less memory than sorting and keeps the driver out of it.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    open_ = True
+    while open_:
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least.hint("shuffle_hash"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("shuffle_hash"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.hint("shuffle_hash"), "a")
         to = F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", "m"))).otherwise(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))))
         spent, e = e, stored(small.select(to.alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).distinct(), "near-edges")
         discard(spent)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
+        # Stars are left when each a has one edge and is no other's b.
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("y"))
+        open_ = not ends.select("y.*").groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").isEmpty()
     out = stored(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "near-found")
     discard(e)
     return out
@@ -180,7 +170,7 @@ def _with_roots(rows: DataFrame, column: str, roots: DataFrame, into: str) -> Da
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of texts (node, text): 32 bits of each distinct shingle's hash, in order, and its count."""
+    """(node, sketch, shingles) of texts (node, text, sketch): 32 bits of each distinct shingle's hash, in order, and its count."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,10 +180,10 @@ def _sets(texts: DataFrame) -> DataFrame:
                 for s, c, _ in M.shingles(texts_):
                     high, first = np.unique((s >> np.uint64(32)).astype(np.uint32), return_index=True)
                     own.append(high.tobytes() + np.minimum(c[first], 65535).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts_)), pa.array(own, pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(texts_)) for i in (0, 2)), pa.array(own, pa.binary())], names=["node", "sketch", "shingles"])
                 at += len(texts_)
 
-    return texts.select("node", "text").mapInArrow(pack, "node long, shingles binary")
+    return texts.select("node", "text", "sketch").mapInArrow(pack, "node long, sketch binary, shingles binary")
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +230,7 @@ def _links_in_block(band: int, part: tuple[int, int], rows: list[tuple], thresho
     return out
 
 
-def _blocks(members: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _blocks(members: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of members (key, node, n, hub) of a bucket in different classes that are, or may just be, links."""
     opened = stored(_with_roots(members, "node", roots, "root"), "near-open")
     mixed = opened.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(6 * F.col("n") + 3 * M.K).alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi AND size > 2")
@@ -248,7 +238,7 @@ def _blocks(members: DataFrame, roots: DataFrame, sketches: DataFrame, texts: Da
     m = opened.join(mixed.select("key", parts.alias("parts")), "key")
     m = mixed_members = stored(m.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")), "near-mixed")
     open_ = m.select("node").distinct()
-    whole = sets = stored(_sets(texts.join(open_, "node", "left_semi")).join(sketches, "node"), "near-sets")
+    whole = sets = stored(_sets(texts.join(open_, "node", "left_semi")), "near-sets")
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "hub", "root").join(whole, "node")
     m = m.select("key", "i", "j", "part", "node", "hub", "root", "sketch", "shingles")
@@ -274,32 +264,25 @@ def link_roots(rows: DataFrame, signed: DataFrame, threshold: float = THRESHOLD)
     members, _ = traced(members, "key", trace(buckets, "key"))
     members = stored(members.join(buckets.hint("shuffle_hash"), "key").distinct(), "near-members")
     nodes = members.select("node").distinct()
-    sketches, _ = traced(signed.select("node", "t", "sketch"), "node", trace(nodes, "node"))
-    sketches = stored(sketches.groupBy("node").agg(F.min(F.struct("t", "sketch")).alias("x")).join(nodes, "node", "left_semi").select("node", "x.*"), "near-sketches")
+    own, _ = traced(signed.select("node", "t", "sketch"), "node", trace(nodes, "node"))
+    sketches = stored(own.groupBy("node").agg(F.min(F.struct("t", "sketch")).alias("x")).join(nodes, "node", "left_semi").select("node", "x.*"), "near-sketches")
     texts, _ = traced(rows, "t", trace(sketches, "t"))
     # Copies meet before they move: one row of a text from each task.
-    texts = texts.groupBy("t").agg(F.first("text").alias("text")).join(sketches.select("t", "node"), "t")
-    texts = stored(texts.select("node", "text"), "near-texts")
+    texts = texts.groupBy("t").agg(F.first("text").alias("text")).join(sketches, "t")
+    texts = stored(texts.select("node", "text", "sketch"), "near-texts")
     discard(buckets)
 
-    pairs = members.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = all_pairs = stored(pairs, "near-pairs")
-    pairs = stored(sieve(pairs, sketches).join(pairs, ["a", "b"]), "near-sieved")
-    discard(all_pairs)
-    best = pairs.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("least"))).alias("x")).select("a", (-F.col("x.least")).alias("b"))
-    best = stored(best, "near-best")
-    links = stored(verify(best, texts, threshold), "near-links")
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stored(pairs, "near-pairs")
+    links = stored(verify(pairs, texts, threshold), "near-links")
     roots = components(links)
-    others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    others = _with_roots(_with_roots(others, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
-    others = stored(others, "near-others")
-    for more in (lambda: others, lambda: _blocks(members, roots, sketches, texts, threshold)):
-        candidates = more()
-        found = stored(verify(candidates, texts, threshold), "near-links")
+    rest = _blocks(members, roots, texts, threshold)
+    more = stored(verify(rest, texts, threshold), "near-links")
+    if not more.isEmpty():
         star = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-        spent, roots = roots, components(star.unionByName(found))
-        discard(spent, candidates, found)
-    discard(members, sketches, texts, pairs, best, links)
+        spent, roots = roots, components(star.unionByName(more))
+        discard(spent)
+    discard(members, sketches, texts, pairs, links, rest, more)
     return roots
 
 

@@ -94,54 +94,91 @@ def chunk(text, marks):
     return out
 
 
-@pytest.mark.parametrize("keys", [D.KEYS, 0])
-def test_line_dedup(spark, keys, monkeypatch):
-    monkeypatch.setattr(D, "KEYS", keys)
+def marks(t):
+    x = [hashlib.md5(y.encode()).hexdigest() for y in t.split("\n")]
+    return [False] + [int(hashlib.md5((a + b).encode()).hexdigest()[-6:], 16) % 4 == 0 for a, b in zip(x, x[1:], strict=False)]
+
+
+def chunks_of(t):
+    """(first line, lines) of the chunks of both sizes that have enough words."""
+    lines, out, at = t.split("\n"), [], 0
+    for own in chunk(t, marks(t)):
+        if len(own) > 2:
+            out.append((at, own))
+        at += len(own)
+    out += [(i, lines[i : i + 2]) for i in range(len(lines) - 1)]
+    return [(i, x) for i, x in out if sum(len(re.findall(r"[^\x20\x09-\x0D]+", y)) for y in x) >= D.LEAST]
+
+
+def test_line_dedup(spark):
     r = random.Random(5)
-    line = [f"line {k} " + "x" * (k % 5) for k in range(400)]
+    line = [f"line {k} " + " x" * (k % 7) for k in range(400)]
     blocks = [[r.choice(line) for _ in range(r.randrange(2, 14))] for _ in range(12)]
     data = []
     for k in range(120):
         parts = [[r.choice(line) for _ in range(r.randrange(0, 6))] for _ in range(3)]
         parts.insert(r.randrange(4), r.choice(blocks))
         data.append((k if k % 40 else None, "\n".join(x for p in parts for x in p), "en", "s"))
-    data += [(200, None, "en", "s"), (201, "", "en", "s"), (202, "\n\n\n", "en", "s"), data[3], data[3], (300, data[3][1], "en", "s")]
+    data += [(200, None, "en", "s"), (201, "", "en", "s"), (202, "\n\n\n", "en", "s"), (203, "\n\n\n", "en", "s"), data[3], data[3], (300, data[3][1], "en", "s")]
     df = rows(spark, data)
     own = spark.createDataFrame([(t[1],) for t in data], "t string").selectExpr("t", "xxhash64(t) h").distinct().collect()
     text_hash = {x.t: x.h for x in own}
-
-    def marks(t):
-        x = [hashlib.md5(y.encode()).hexdigest() for y in t.split("\n")]
-        return [False] + [int(hashlib.md5((a + b).encode()).hexdigest()[-6:], 16) % 4 == 0 for a, b in zip(x, x[1:], strict=False)]
-
+    key_of = lambda i, t: ((1 << 63) - 1 if i is None else i, text_hash[t])
     places = defaultdict(list)
     for i, t, _, _ in data:
-        if t is not None:
-            for c, x in enumerate(chunk(t, marks(t))):
-                if len(x) >= 2:
-                    places["\n".join(x)].append(((1 << 63) - 1 if i is None else i, text_hash[t], c))
+        for at, x in chunks_of(t) if t is not None else []:
+            places["\n".join(x)].append((*key_of(i, t), at))
     want = []
     for i, t, _, _ in data:
-        if t is None:
-            want.append((i, None, []))
-            continue
-        parts = ["\n".join(x) for x in chunk(t, marks(t))]
-        key = ((1 << 63) - 1 if i is None else i, text_hash[t])
-        gone = [c for c, x in enumerate(parts) if x in places and "\n" in x and (*key, c) != min(places[x])]
-        want.append((i, "\n".join(x for c, x in enumerate(parts) if c not in gone) if gone else t, gone))
-    got = [(x.row.doc_id, x.kept, list(x.removed)) for x in D.dedup(df).collect()]
-    key = lambda x: str(x)
-    assert sorted(got, key=key) == sorted(want, key=key)
-    assert sum(len(x[2]) for x in want) > 30
+        gone = set()
+        for at, x in chunks_of(t) if t is not None else []:
+            if (*key_of(i, t), at) != min(places["\n".join(x)]):
+                gone.update(range(at, at + len(x)))
+        want.append((i, t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), sorted(gone), 0 if t is None else len(chunk(t, marks(t)))))
+    got = [(x.row.doc_id, x.kept, list(x.removed), x.n_chunks) for x in D.dedup(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(len(x[2]) for x in want) > 100
     assert D.dedup(df.limit(0)).collect() == []
 
 
+def test_repeated_passages_go_whole(spark):
+    """Passages of 2 to 10 lines and over 50 words, each in three documents with other neighbours."""
+    r = random.Random(6)
+    fresh = iter(range(10**9))
+    new_line = lambda: " ".join(f"w{next(fresh)}" for _ in range(30))
+    data, planted = [], {}
+    for n in range(2, 11):
+        for _ in range(6):
+            passage = [new_line() for _ in range(n)]
+            for copy in range(3):
+                before = [new_line() for _ in range(r.randrange(0, 5))]
+                planted[len(data)] = (len(before), n, copy)
+                data.append((len(data), "\n".join([*before, *passage, *(new_line() for _ in range(r.randrange(0, 5)))]), "en", "s"))
+    for x in D.dedup(rows(spark, data)).collect():
+        at, n, copy = planted[x.row.doc_id]
+        assert list(x.removed) == ([] if copy == 0 else list(range(at, at + n)))
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    """Time grows with the lines, not with their square."""
+    import time
+
+    took = {}
+    for n in (2000, 100_000, 200_000):
+        text = "\n".join(f"one two three four five six seven {k % (n // 2)}" for k in range(n))
+        began = time.time()
+        out = D.dedup(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")).collect()
+        took[n] = time.time() - began
+        assert sum(len(x.removed) for x in out) == n // 2
+    assert took[200_000] < 4 * took[100_000] + 5
+
+
 def test_line_dedup_query(spark, sf_small):
     out = D.op5_line_dedup(spark, sf_small).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
-    assert len(out) == len(text) and any(r.n_removed for r in out)
+    assert len(out) == len(text) and any(r.removed_lines for r in out)
     for r in out:
-        if not r.n_removed:
+        if not r.removed_lines:
             assert r.kept_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
