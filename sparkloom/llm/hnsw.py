@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
-Rows are dealt by a hash of id and vector into shards of about ``shard_rows``. A shard's equal vectors are one node (a
+Rows are dealt by a hash of id and vector into shards of about ``shard_rows``, each of vectors of one length. A shard's equal vectors are one node (a
 hot vector makes no knot of zero distances), and a node's row ids stay with it. The largest inner product becomes the
 least Euclidean distance by one added coordinate, ``sqrt(max |x|^2 - |x|^2)`` for rows and 0 for queries. Nodes draw
 geometric levels; each layer's graph is one flat int32 array of neighbours, built in batches: a batch finds its
 neighbours in the graph so far by beam search from the layer above, all its members in lockstep, keeps a diverse
 selection, and adds the reverse links. The index is a table with a row for each shard, in the shared folder.
 
-Queries go to all shards in blocks of bounded size; a shard returns its best k, scored in double precision on the
-original vectors, and the merge keeps each query's k best of at most k rows from each shard.
+Queries go to all shards of their length, a part of at most ``BLOCK`` queries and a shard in one task, so neither passes
+the driver; a shard returns its best k, scored in double precision on the original vectors, and the merge keeps each
+query's k best of at most k rows from each shard.
 """
 
 from __future__ import annotations
@@ -16,28 +17,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
 SHARD_ROWS = 8192
 M, EF_BUILD, EF_SEARCH = 16, 96, 192
-BLOCK = 4096
+BLOCK = 16_384
 WIDTH = 4  # candidates that a beam opens at once
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """Rows (vec_id, v) that take part: id not null, vector not null or zero, components finite, of the table's most
-    frequent length (the shorter, if two are). Rows that share an id count as one, the one with the least vector."""
-    v = vectors.select(vectors[vec_id].alias("vec_id"), vectors[vector].cast("array<double>").alias("v"))
+    """Rows (vec_id, v) that take part: vector not null or zero, components finite, id not null. Repeated rows count
+    once; rows that share an id but not the vector all take part."""
+    v = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"))
     fine = "vec_id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)"
-    v = v.where(fine)
-    length = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    v = v.where(F.size("v") == (length.n if length else 0))
-    return v.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("v").alias("v"))
+    return v.where(fine).distinct()
 
 
 def _nearest(d: np.ndarray, ids: np.ndarray, done: np.ndarray, ef: int):
@@ -212,72 +209,103 @@ def build_shard(ids: np.ndarray, v: np.ndarray) -> dict:
     }
 
 
-INDEX = "shard long, dim int, ids binary, starts binary, vectors binary, lifted binary, widths array<int>, links array<binary>"
+INDEX = "shard int, dim int, ids binary, starts binary, vectors binary, lifted binary, widths array<int>, links array<binary>"
+BUILT = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), *((n, pa.binary()) for n in ("ids", "starts", "vectors", "lifted")), ("widths", pa.list_(pa.int32())), ("links", pa.list_(pa.binary()))])
+SENT = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("shard", pa.int32())])
+
+
+def dealt(v: DataFrame, shard_rows: int) -> tuple[DataFrame, int, DataFrame]:
+    """v with its shard, the number of shards, and (n, first, shards): the shards of the vectors of each length."""
+    lengths = v.groupBy(F.size("v").alias("n")).count().collect()  # a row for each length of vectors
+    first, rows = 0, []
+    for n, count in sorted(lengths):
+        rows.append((n, first, -(-count // shard_rows)))
+        first += rows[-1][2]
+    plan = v.sparkSession.createDataFrame(rows, "n int, first int, shards int")
+    out = v.join(F.broadcast(plan), F.size("v") == plan["n"])
+    return out.select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("shards"))).cast("int").alias("shard")), first, plan
 
 
 def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index of all usable rows: one row per shard, stored in the shared folder. Empty if no row is usable."""
     v = stored(usable(vectors, vec_id, vector), "hnsw-vectors")
-    shards = max(1, -(-v.count() // shard_rows))
-    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
+    own, shards, _ = dealt(v, shard_rows)
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"shard": key[0], **build_shard(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()))}])
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema=SENT)
+        if rows.num_rows:
+            flat = rows["v"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+            built = {"shard": rows["shard"][0].as_py(), **build_shard(rows["vec_id"].to_numpy(), flat)}
+            yield pa.RecordBatch.from_pylist([built], schema=BUILT)
 
     # One partition for each shard: building is what takes time.
-    return stored(v.repartition(shards, "shard").groupBy("shard").applyInPandas(build, INDEX), "hnsw-index")
+    out = stored(own.repartitionById(max(1, shards), "shard").mapInArrow(build, INDEX), "hnsw-index")
+    discard(v)
+    return out
 
 
-def search_shard(r: dict, q_ids: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, row ids and scores of each query's k best rows of the shard, its own id left out."""
+def search_shard(r: dict, q_ids: np.ndarray, q: np.ndarray, k: int, ef: int, g: Graph | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which query (its place), row id and score of each query's k best rows of the shard, the query's own row left out."""
     dim = r["dim"]
     ids, starts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["starts"], np.int64)
     x = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
-    g = Graph(np.frombuffer(r["lifted"], np.float32).reshape(-1, dim + 1), [np.frombuffer(b, np.int32).reshape(-1, w) for b, w in zip(r["links"], r["widths"], strict=True)])
+    g = g or graph_of(r)
     norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", q, q)), 1e-300)
     found = g.search(np.hstack([q / norm[:, None], np.zeros((len(q), 1))]), max(ef, 2 * k))
     out_q, out_i, out_s = [], [], []
     for i, nodes in enumerate(found):
         nodes = nodes[nodes >= 0]
-        scores = x[nodes] @ q[i]
-        near = nodes[np.argsort(-scores, kind="stable")][: k + 1] if len(nodes) > k + 1 else nodes
-        score = {int(n): float(np.dot(x[n], q[i])) for n in near}
-        rows = [(-score[int(n)], int(v)) for n in near for v in ids[starts[n] : min(starts[n + 1], starts[n] + k + 1)] if v != q_ids[i]]
+        if len(nodes) > k + 1:
+            # All that may be among the k + 1 best, ties included; the product of the whole matrix may differ in its last bits.
+            scores = x[nodes] @ q[i]
+            least = np.partition(scores, len(nodes) - k - 1)[len(nodes) - k - 1]
+            nodes = nodes[scores >= least - 1e-9 * abs(least)]
+        rows = []
+        for n in nodes.tolist():
+            score, same = float(np.dot(x[n], q[i])), np.array_equal(x[n], q[i])
+            rows += [(-score, v) for v in ids[starts[n] : min(starts[n + 1], starts[n] + k + 1)].tolist() if not (same and v == q_ids[i])]
         rows = sorted(rows)[:k]
-        out_q += [q_ids[i]] * len(rows)
+        out_q += [i] * len(rows)
         out_i += [v for _, v in rows]
         out_s += [-s for s, _ in rows]
     return np.array(out_q, np.int64), np.array(out_i, np.int64), np.array(out_s, np.float64)
 
 
+def graph_of(r: dict) -> Graph:
+    return Graph(np.frombuffer(r["lifted"], np.float32).reshape(-1, r["dim"] + 1), [np.frombuffer(b, np.int32).reshape(-1, w) for b, w in zip(r["links"], r["widths"], strict=True)])
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest rows found. queries: usable() rows, (vec_id, v)."""
-    spark: SparkSession = index.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    found = spark.createDataFrame([], schema)
-
-    def run(batch: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in batch], np.int64), np.array([r[1] for r in batch], np.float64)))
-
-        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for b in batches:
-                for r in b.to_pylist():
-                    got = search_shard(r, ids, q, k, ef)
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in got], names=["query_id", "vec_id", "score"])
-
-        return index.repartition(max(1, index.count()), "shard").mapInArrow(one, schema)
-
-    own: list = []
-    for r in queries.toLocalIterator():
-        own.append(r)
-        if len(own) == block:
-            found, own = found.unionByName(run(own)), []
-    if own:
-        found = found.unionByName(run(own))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """(query_id, query_row, rank, vec_id, score): each query's k nearest rows found. queries: usable() rows, (vec_id, v).
+    Queries that share an id are told apart by query_row, a hash of the vector."""
+    q = stored(queries.select("vec_id", F.xxhash64("v").alias("row"), "v"), "hnsw-queries")
+    parts = max(1, -(-q.count() // block))
+    shards = index.select("shard", F.col("dim").alias("n"))
+    # A task is a shard and a part of the queries: the shard's row comes first, then its queries.
+    own = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.struct(*index.columns).alias("index"))
+    own = own.select((F.col("shard") * parts + F.col("part")).cast("int").alias("task"), "index", *(F.lit(None).cast(t).alias(c) for c, t in (("vec_id", "long"), ("row", "long"), ("v", "array<double>"))))
+    asked = q.withColumn("part", F.pmod("row", F.lit(parts))).join(shards, F.size("v") == shards["n"])
+    asked = asked.select((F.col("shard") * parts + F.col("part")).cast("int").alias("task"), F.lit(None).cast(own.schema["index"].dataType).alias("index"), "vec_id", "row", "v")
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, g = None, None
+        for b in batches:
+            if b.num_rows and b.column(1)[0].is_valid:
+                shard = b.column(1)[0].as_py()
+                g = graph_of(shard)
+                b = b.slice(1)
+            if not b.num_rows or shard is None:
+                continue
+            ids, rows = b.column(2).to_numpy(), b.column(3).to_numpy()
+            at, near, score = search_shard(shard, ids, b.column(4).flatten().to_numpy().reshape(b.num_rows, -1), k, ef, g)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], rows[at], near, score)], names=["query_id", "query_row", "vec_id", "score"])
+
+    tasks = max(1, (index.agg(F.max("shard")).first()[0] or 0) + 1) * parts
+    both = own.unionByName(asked).repartitionById(tasks, "task").sortWithinPartitions("vec_id")  # null: the shard
+    found = both.mapInArrow(one, "query_id long, query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", "query_row", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:

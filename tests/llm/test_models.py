@@ -44,8 +44,12 @@ def test_hnsw(spark):
     v[700:1200] = v[3]  # a hot vector
     rows = {i: x.astype(np.float32).astype(float) for i, x in enumerate(v)}
     data = [(i, x.tolist(), 0) for i, x in rows.items()]
-    odd = [(2000, None, 0), (2020, [0.0] * 12, 0), (2040, [float("nan")] * 12, 0), (2060, [None] + [1.0] * 11, 0), (2080, [float("inf")] * 12, 0), (None, [1.0] * 12, 0), (2100, [1.0], 0)]
-    df = spark.createDataFrame(data + odd + data[:3], "vec_id long, embedding array<float>, shard int").repartition(3)
+    odd = [(2000, None, 0), (2020, [0.0] * 12, 0), (2040, [float("nan")] * 12, 0), (2060, [None] + [1.0] * 11, 0), (2080, [float("inf")] * 12, 0), (None, [1.0] * 12, 0)]
+    short = [(2100, [1.0], 0), (2101, [3.0], 0), (2102, [-1.0], 0)]  # neighbours have the same length
+    df = spark.createDataFrame(data + odd + short + data[:3], "vec_id long, embedding array<float>, shard int").repartition(3)
+    other = [x for x in H.nearest(df, shard_rows=400).collect() if x.query_id == 2100]
+    assert [(x["rank"], x.vec_id, x.score) for x in sorted(other, key=lambda x: x["rank"])] == [(1, 2101, 3.0), (2, 2102, -1.0)]
+    df = df.where("vec_id < 2100 OR vec_id IS NULL")
     out = H.nearest(df, shard_rows=400).collect()
     want = exact(rows)
     assert recall(out, want) >= 0.95
@@ -58,6 +62,29 @@ def test_hnsw(spark):
     assert H.nearest(df.limit(0)).collect() == []
 
 
+def test_hnsw_rows_that_share_an_id(spark):
+    """Each is a query of its own, and a candidate of the other."""
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (0, [0.0, 2.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for x in H.nearest(df).collect():
+        got.setdefault(x.query_row, []).append((x["rank"], x.vec_id, x.score))
+    assert sorted(map(sorted, got.values())) == [[(1, 7, 1.0), (2, 0, 0.0)], [(1, 7, 2.0), (2, 0, 0.0)]]
+
+
+def test_hnsw_ties_and_several_shards(spark):
+    """Vectors of few values have many equal scores: the smaller id wins, whatever shard it is in. Recall over shards."""
+    r = np.random.default_rng(8)
+    tied = {i: r.integers(1, 3, 6).astype(float) for i in range(900)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in tied.items()], "vec_id long, embedding array<double>")
+    want = exact(tied)
+    for x in H.nearest(df, shard_rows=128).collect():
+        assert (x.vec_id, x.score) == want[x.query_id][x["rank"] - 1]
+    rows = {i: v for i, v in enumerate(r.normal(size=(9000, 24)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>").repartition(4)
+    assert H.build_index(df, shard_rows=2500).count() == 4
+    assert recall(H.nearest(df, shard_rows=2500).collect(), exact(rows)) >= 0.95
+
+
 def test_hnsw_query(spark, sf_small):
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf_small}/embeddings.parquet").collect()}
     assert recall(H.op7_hnsw(spark, sf_small).collect(), exact(rows)) >= 0.9
