@@ -1,11 +1,11 @@
 """License scan by diagonal voting, as one Spark join.
 
-Every document's rolling k-gram hashes are joined with the hashes at all template positions (a few thousand fixed
-rows, broadcast). A match at document word ``pos`` and template word ``t`` votes for the diagonal ``pos - t``: a
-verbatim copy puts all votes of a template on one diagonal, an inserted or missing word moves the rest to a
-neighbouring one. Votes are a bit mask per (document, template, diagonal), so they pre-aggregate; neighbouring
-diagonals are merged; a span is verified by the share of the template's k-grams that its diagonals hold (all of them,
-on one diagonal, for the base phrases). All of it is DataFrame code in the JVM.
+Every document's rolling k-gram hashes are joined with the hashes at all template positions (about 1,500 fixed rows,
+broadcast). A match at document word ``pos`` and template word ``t`` votes for the diagonal ``pos - t``: a verbatim copy
+puts all votes of a template on one diagonal, an inserted or missing word moves the rest to a neighbouring one. Votes are
+bit masks per (document, template, diagonal, 63 template words), so they pre-aggregate and a template may be of any
+length; neighbouring diagonals are merged; a span is verified by the share of the template's k-grams that its diagonals
+hold (all of them, on one diagonal, for the base phrases). All of it is DataFrame code in the JVM.
 """
 
 from __future__ import annotations
@@ -14,42 +14,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, words_of
+from .license_texts import BASE, NOTICES
 
 K = 2
+#: Template words for each mask.
+BITS = 63
 #: Diagonals at most this far apart are one span; the share of k-grams that makes a span of a notice.
 NEAR, SHARE = 3, 0.85
 
-#: Phrases and labels of the contract.
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Opening words of well-known public notices, and labels.
-NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2.0",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-notice",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
-    "this work is licensed under a creative commons attribution": "cc-notice",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
-    "this work is licensed under the gnu general public license version 3": "gpl-3",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
-    "licensed under cc by 4 0": "cc-by-4.0",
-}
-
 WORD = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Stands for a document itself among its k-grams, so that each document survives the join; no word holds a space.
 _SELF = "xxhash64('a document')"
 
 
 def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str], k: int = K) -> DataFrame:
-    """Rows (gram, tid, tpos, grams, label, exact); a template may have 63 k-grams at most."""
+    """Rows (gram, tid, tpos, grams, label, exact), one for each template word that begins a k-gram."""
     rows = [(None, -1, 0, 0, None, True)]
     for tid, (phrase, label, exact) in enumerate([*((p, x, True) for p, x in base.items()), *((p, x, False) for p, x in notices.items())]):
         w = [x.decode() for x in words_of(phrase)]
-        if not k <= len(w) < k + 63:
-            raise ValueError(f"a template needs {k} to {k + 62} words: {phrase}")
+        if len(w) < k:
+            raise ValueError(f"a template needs {k} words: {phrase}")
         rows += [(w[i : i + k], tid, i, len(w) - k + 1, label, exact) for i in range(len(w) - k + 1)]
     t = spark.createDataFrame(rows, "words array<string>, tid int, tpos int, grams int, label string, exact boolean")
     gram = F.expr(f"if(tid < 0, {_SELF}, xxhash64({', '.join(f'get(words, {i})' for i in range(k))}))")
@@ -76,23 +60,24 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: dict
     found = at.join(F.broadcast(templates(spark, base, notices, k)), "gram")
     own = ["doc_id", "h", "n_words"]
     diagonal = F.when(F.col("tid") < 0, F.lit(0)).otherwise(F.col("pos") - 1 - F.col("tpos"))
-    votes = found.groupBy(*own, "tid", diagonal.alias("diagonal"), "grams", "label", "exact").agg(
-        F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.count(F.lit(1)).alias("n")
-    )
-    by = Window.partitionBy(*own, "tid").orderBy("diagonal")
+    template = ["tid", "grams", "label", "exact"]
+    votes = found.groupBy(*own, *template, diagonal.alias("diagonal"), F.expr(f"tpos div {BITS}").alias("part")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, tpos % {BITS})")).alias("mask"), F.count(F.lit(1)).alias("n"),
+        F.min(F.col("pos") - 1).alias("lo"), F.max(F.col("pos") - 1).alias("hi"),
+    )
+    by = Window.partitionBy(*own, "tid").orderBy("diagonal", "part")
     gap = F.col("diagonal") - F.lag("diagonal").over(by)
-    fresh = F.when(gap.isNull() | F.col("exact") | (gap > near), 1).otherwise(0)
+    fresh = F.when(gap.isNull() | (gap > near) | (F.col("exact") & (gap > 0)), 1).otherwise(0)
     votes = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(by))
-    spans = votes.groupBy(*own, "tid", "span", "grams", "label", "exact").agg(
-        F.bit_or("mask").alias("mask"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.max("n").alias("n")
+    masks = votes.groupBy(*own, "tid", "span", "part", *template[1:]).agg(F.bit_or("mask").alias("mask"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"))
+    spans = masks.groupBy(*own, "tid", "span", *template[1:]).agg(
+        F.sum(F.bit_count("mask")).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n")
     )
-    held = F.bit_count("mask") / F.col("grams")
-    spans = spans.withColumn("share", F.when(F.col("tid") >= 0, held)).withColumn(
+    spans = spans.withColumn("share", F.when(F.col("tid") >= 0, F.col("held") / F.col("grams"))).withColumn(
         "good", F.when(F.col("tid") >= 0, F.when(F.col("exact"), F.col("share") == 1).otherwise(F.col("share") >= share))
     )
-    # From the first to the last template word that has a vote.
-    first = F.greatest(F.lit(0), F.col("lo") + F.expr("bit_count((mask & -mask) - 1L)"))
-    last = F.col("hi") + F.length(F.bin("mask")) + (k - 2)
+    # From the first to the last word that voted.
+    first, last = F.col("lo"), F.col("hi") + (k - 1)
     is_base = F.col("exact") & F.col("good")
     kept = F.when(F.col("good"), F.struct("label", first.cast("long").alias("first"), last.cast("long").alias("last"), "share"))
     out = spans.groupBy(*own).agg(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .license_scan import BASE, K, NEAR, NOTICES, SHARE
+from .license_texts import BASE, NOTICES
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), '" + UPPER + "', '" + LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -56,17 +56,17 @@ def _template_rows() -> str:
 
 LICENSE_SCAN = f"""
 WITH t AS (SELECT * FROM (VALUES {_template_rows()}) AS t(tid, phrase, label, exact)),
-tg AS (SELECT tid, label, exact, len(string_split(phrase, ' ')) - {K - 1} AS grams, k AS tpos, array_to_string(list_slice(string_split(phrase, ' '), k, k + {K - 1}), ' ') AS gram
-       FROM t, LATERAL (SELECT unnest(generate_series(1, len(string_split(phrase, ' ')) - {K - 1})) AS k)),
+tg AS (SELECT tid, label, exact, len(string_split(phrase, ' ')) - 1 AS grams, k AS tpos, array_to_string(list_slice(string_split(phrase, ' '), k, k + 1), ' ') AS gram
+       FROM t, LATERAL (SELECT unnest(generate_series(1, len(string_split(phrase, ' ')) - 1)) AS k)),
 d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
-dg AS (SELECT doc_id, k AS pos, array_to_string(list_slice(w, k, k + {K - 1}), ' ') AS gram FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - {K - 1})) AS k)),
+dg AS (SELECT doc_id, k AS pos, array_to_string(list_slice(w, k, k + 1), ' ') AS gram FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 1)) AS k)),
 votes AS (SELECT DISTINCT doc_id, tid, label, exact, grams, pos - tpos AS diagonal, tpos FROM dg JOIN tg USING (gram)),
 diagonals AS (SELECT DISTINCT doc_id, tid, exact, diagonal FROM votes),
-marked AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > {NEAR} THEN 1 ELSE 0 END AS fresh FROM diagonals),
+marked AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS fresh FROM diagonals),
 spans AS (SELECT doc_id, tid, diagonal, sum(fresh) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM marked),
 held AS (SELECT v.doc_id, v.tid, v.label, v.exact, s.span, min(v.diagonal) AS start, count(DISTINCT tpos) / any_value(v.grams) AS share
          FROM votes v JOIN spans s ON s.doc_id = v.doc_id AND s.tid = v.tid AND s.diagonal = v.diagonal GROUP BY ALL),
-good AS (SELECT *, CASE WHEN exact THEN share = 1 ELSE share >= {SHARE} END AS good FROM held)
+good AS (SELECT *, CASE WHEN exact THEN share = 1 ELSE share >= 0.85 END AS good FROM held)
 SELECT d.doc_id, cast(len(any_value(d.w)) AS bigint) AS n_words, count(*) FILTER (exact AND good) AS n_base, cast(min(start) FILTER (exact AND good) AS bigint) AS first_word, cast(max(start) FILTER (exact AND good) AS bigint) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND good), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (good), '') AS labels,
        cast(coalesce(max(CASE WHEN NOT exact THEN share WHEN good THEN 1.0 END), 0) AS double) AS score

@@ -214,6 +214,24 @@ def test_license_scan(spark, sf_small):
     assert L.scan(rows(spark, data).limit(0)).collect() == []
 
 
+def test_license_texts_of_any_length(spark):
+    """Whole licences, verbatim, with changed names and with a word put in; a template of 300 words; half a licence."""
+    mit = next(t for t, x in L.NOTICES.items() if x == "mit-text")
+    bsd = next(t for t, x in L.NOTICES.items() if x == "bsd-3-clause-text").split()
+    long_ = " ".join(f"t{k}" for k in range(300))
+    data = [
+        (0, f"Some words first. {mit.upper()} and more"), (1, " ".join([*bsd[:90], "really", *bsd[90:]])), (2, f"x {long_} y"),
+        (3, " ".join(bsd[: len(bsd) // 2])), (4, " ".join(w for k, w in enumerate(long_.split()) if k % 40)), (5, mit + " " + mit),
+    ]
+    out = {r.doc_id: r for r in L.scan(rows(spark, [(i, t, "en", "s") for i, t in data]), notices=L.NOTICES | {long_: "long"}).collect()}
+    assert "mit-text" in out[0].labels.split(",") and out[0].score == 1
+    at = [(s.first, s["last"]) for s in out[0].spans if s.label == "mit-text"]
+    assert at == [(3, 2 + len(mit.split()))]
+    assert "bsd-3-clause-text" in out[1].labels.split(",") and len([s for s in out[5].spans if s.label == "mit-text"]) == 2
+    assert out[2].labels == "long" and [(s.first, s["last"]) for s in out[2].spans] == [(1, 300)]
+    assert "bsd-3-clause-text" not in out[3].labels.split(",") and out[4].labels == "long"
+
+
 def sharding_rows():
     data = [(k, t, ["en", "de", None][k % 3], f"src{k % 20 if k % 3 else 0}") for k, t in enumerate(texts(3000, 8))]
     return data + [(5000 + k, "a large group " * 20, "en", "src1") for k in range(1200)] + [(9000, None, None, None), (None, "x", "en", "s"), (9001, "twice", "en", "s"), (9001, "twice", "en", "s"), (9002, "w " * 9000, "en", "s")]
