@@ -74,6 +74,15 @@ def unpacked(x: bytes, dtype: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), dtype)
 
 
+def packed_hashes(x: np.ndarray) -> bytes:
+    """Hashes in order, as the bytes of their differences, the first bytes first: the last ones are mostly 0."""
+    return packed(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.copy())
+
+
+def unpacked_hashes(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def encode(ids: list, held: list[bool], texts: list[str | None]) -> dict:
     """A batch's corpus row: the words of its documents one after the other, numbered as they come, and their hashes."""
     from xxhash import xxh3_64_intdigest
@@ -117,15 +126,15 @@ def requests(row: dict, buckets: int) -> list[dict]:
         first, runs = runs_of(word[a:b])
         own, at = np.unique(context[a:b], return_inverse=True)
         out.append({
-            "batch": row["batch"], "bucket": int(where[a]), "hashes": hashes[word[a:b][first]].tobytes(), "runs": packed(runs),
-            "context_hashes": hashes[own].tobytes(), "contexts": packed(at.astype(index_type(len(own)))), "counts": packed(count[a:b]),
+            "batch": row["batch"], "bucket": int(where[a]), "hashes": packed_hashes(hashes[word[a:b][first]]), "runs": packed(runs),
+            "context_hashes": packed_hashes(hashes[own]), "contexts": packed(at.astype(index_type(len(own)))), "counts": packed(count[a:b]),
         })
     return out
 
 
 def numbered(lists: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct hashes of all lists, in order, and the places of each list's in them."""
-    hashes = [np.frombuffer(x, np.uint64) for x in lists]
+    hashes = [unpacked_hashes(x) for x in lists]
     unique, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     return unique, np.split(inverse.astype(np.int32), np.cumsum([len(x) for x in hashes])[:-1])
 
@@ -143,8 +152,8 @@ def model_bucket(bucket: int, rows: pd.DataFrame) -> dict:
     count = np.bincount(asked, weights=np.concatenate([unpacked(x, np.uint32) for x in rows["counts"]]), minlength=len(pair))
     steps = [np.diff(x, prepend=0) for x in np.split(asked, np.cumsum([len(w) for w in words])[:-1])]
     return {
-        "bucket": bucket, "word_hashes": word_hashes.tobytes(), "pair_word": packed((pair // wide).astype(np.int32)), "pair_context": packed((pair % wide).astype(index_type(wide))),
-        "pair_count": packed(count.astype(np.int64)), "context_hashes": contexts.tobytes(), "batches": rows["batch"].tolist(),
+        "bucket": bucket, "word_hashes": packed_hashes(word_hashes), "pair_word": packed((pair // wide).astype(np.int32)), "pair_context": packed((pair % wide).astype(index_type(wide))),
+        "pair_count": packed(count.astype(np.int64)), "context_hashes": packed_hashes(contexts), "batches": rows["batch"].tolist(),
         "sizes": [len(w) for w in words], "asked": packed(np.concatenate(steps).astype(np.uint32)),
     }
 
@@ -153,7 +162,7 @@ def opened(rows: pd.DataFrame) -> dict:
     """The one row of a bucket, its pairs unpacked."""
     pa.default_memory_pool().release_unused()
     row = rows.to_dict("records")[0]
-    return row | {k: unpacked(row[k], np.uint8) for k in ("pair_word", "pair_context", "pair_count")}
+    return row | {k: unpacked(row[k], np.uint8) for k in ("pair_word", "pair_context", "pair_count")} | {k: unpacked_hashes(row[k]).tobytes() for k in ("word_hashes", "context_hashes")}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -337,7 +346,7 @@ def sent(row: dict, shards: int, tables: np.ndarray, sums: list[int], customers:
     out = [{"shard": -1, "bucket": row["bucket"], "hashes": None, "customers": None, "tables": None, "sums": sums}]
     for shard, a, b in parts:
         at = order[a:b]
-        new = {"hashes": None, "customers": None} if customers is None else {"hashes": hashes[at].tobytes(), "customers": packed(customers[1:][at])}
+        new = {"hashes": None, "customers": None} if customers is None else {"hashes": packed_hashes(hashes[at]), "customers": packed(customers[1:][at])}
         out.append({"shard": shard, "bucket": row["bucket"], **new, "tables": packed(tables[1:][at]), "sums": None})
     return pd.DataFrame(out)
 
@@ -432,7 +441,9 @@ def score(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "
             for k in range(len(b)):
                 yield pa.RecordBatch.from_pylist(requests(b.slice(k, 1).to_pylist()[0], buckets), schema=schema)
 
-    corpus = stored(docs.mapInArrow(encoded, CORPUS), "lm-corpus")
+    # Dealt by batch now, while little else is stored, so that only the answers move later.
+    corpus = in_buckets(docs.mapInArrow(encoded, CORPUS).repartition(buckets, "batch"), buckets, "batch", "lm_corpus")
+    spark.sparkContext._jvm.System.gc()
     asked = corpus.select("batch", "held", "lengths", "words", "hashes").mapInArrow(asking, REQUESTS)
 
     def summed(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -512,13 +523,11 @@ def score(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "
         return pd.DataFrame(out)
 
     answers = model.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInPandas(answered, ANSWER)
-    both = answers.unionByName(corpus, allowMissingColumns=True)
     tokens, types = sums[0][:2]
 
-    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+    def scored(corpus: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
-        rows = rows.sort_values("bucket", na_position="first")
-        own, rest = rows.iloc[0], rows.iloc[1:]
+        own, rest = corpus.iloc[0], rest.sort_values("bucket")
         _, word, _, pairs, lengths = pairs_of(own, buckets)
         logs = np.concatenate([np.frombuffer(x, np.float32) for x in rest["logs"]]).astype(np.float64)
         counts = np.repeat(np.concatenate([unpacked(x, np.int64) for x in rest["counts"]]), runs_of(word)[1])
@@ -527,7 +536,7 @@ def score(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "
         sums = [np.add.reduceat(x[pairs], starts) for x in (base, logs, (counts > 0).astype(np.int64))]
         return pd.DataFrame({"doc_id": pd.array(list(own["ids"]), dtype="Int64"), "held_out": own["held"], "n_tokens": lengths, "n_known": sums[2], "base_score": sums[0], "score": sums[1]})
 
-    out = both.groupBy("batch").applyInPandas(scored, SCORES)
+    out = corpus.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(scored, SCORES)
     return out.select("*", F.lit(tokens).cast("long").alias("train_tokens"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
