@@ -22,17 +22,17 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, do
 
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-line AS (SELECT doc_id, i, l[i] AS line, len(l) AS n, len(regexp_extract_all(l[i], '[^\x20\x09-\x0D]+')) AS words,
+line AS (SELECT doc_id, i, l[i] AS line, len(l) AS n, strlen(l[i]) AS bytes,
          substr(md5(concat(md5(l[i - 1]), md5(l[i]))), 32) IN ('0', '4', '8', 'c') AND i > 1 AS mark FROM d, LATERAL (SELECT unnest(generate_series(1, len(l))) AS i)),
 cut AS (SELECT *, i = n OR (mark AND NOT coalesce(lag(mark) OVER (PARTITION BY doc_id ORDER BY i), false)) AS ends FROM line),
 numbered AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM cut),
-chunk AS (SELECT doc_id, min(i) AS first, max(i) AS last, sum(words) AS words, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered GROUP BY doc_id, c HAVING count(*) > 2
+chunk AS (SELECT doc_id, min(i) AS first, max(i) AS last, sum(bytes) AS bytes, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered GROUP BY doc_id, c HAVING count(*) > 2
           UNION ALL
-          SELECT a.doc_id, a.i, b.i, a.words + b.words, concat(a.line, chr(10), b.line) FROM line a JOIN line b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
-seen AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, first) > 1 AS again FROM chunk WHERE words >= 10),
+          SELECT a.doc_id, a.i, b.i, a.bytes + b.bytes, concat(a.line, chr(10), b.line) FROM line a JOIN line b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+seen AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, first) > 1 AS again FROM chunk WHERE bytes >= 50),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS i FROM seen WHERE again),
 told AS (SELECT numbered.*, gone.i IS NOT NULL AS gone FROM numbered LEFT JOIN gone USING (doc_id, i))
-SELECT doc_id, count(*) AS n_lines, count(DISTINCT c) AS n_chunks, count(*) FILTER (gone) AS removed_lines,
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS removed_lines,
        cast(strlen(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS bigint) AS kept_bytes, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM told GROUP BY doc_id"""
 
