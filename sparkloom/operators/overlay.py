@@ -67,6 +67,13 @@ def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("owner_file").distinct(), "owner_file", "left_anti").select(*rows.columns)
 
 
+def last_of_each(edges: DataFrame) -> DataFrame:
+    """One edge for each (src, kind, dst): the one whose other columns come last, whatever the rows' order."""
+    key = ["src", "kind", "dst"]
+    rest = [c for c in edges.columns if c not in key]
+    return edges.groupBy(*key).agg(F.max(F.struct(*rest)).alias("rest")).select(*key, "rest.*").select(*edges.columns)
+
+
 def compose(base: CodeGraph, overlay: Overlay, worktree: str, drop_inbound: bool = False, slices: bool = False) -> CodeGraph:
     """The worktree's graph. With `slices` it is just the union of the files' slices: every edge of a slice stays, also
     without its ends, and no node is made up. Else base edges stay if both ends exist afterwards, also into a replaced file (drop_inbound
@@ -76,12 +83,12 @@ def compose(base: CodeGraph, overlay: Overlay, worktree: str, drop_inbound: bool
     kept = without_files(base.nodes, last)
     all_nodes = kept.join(nodes.select("id"), "id", "left_anti").select(*NODE.names).unionByName(nodes)
     if slices:
-        return CodeGraph(all_nodes, without_files(base.edges, last).unionByName(edges).dropDuplicates(["src", "kind", "dst"]))
+        return CodeGraph(all_nodes, last_of_each(without_files(base.edges, last).unionByName(edges)))
     all_nodes = all_nodes.unionByName(missing_ends(all_nodes, edges))
     old = between(without_files(base.edges, last), kept if drop_inbound else all_nodes)
     key = ["src", "kind", "dst"]
     both = old.join(edges.select(*key), key, "left_anti").select(*EDGE.names).unionByName(edges)
-    return CodeGraph(all_nodes, both.dropDuplicates(key))
+    return CodeGraph(all_nodes, last_of_each(both))
 
 
 def apply_slice(base: CodeGraph, nodes: DataFrame, edges: DataFrame) -> CodeGraph:
@@ -92,7 +99,7 @@ def apply_slice(base: CodeGraph, nodes: DataFrame, edges: DataFrame) -> CodeGrap
     kept = kept.unionByName(missing_ends(kept, edges))
     key = ["src", "kind", "dst"]
     old = between(without_files(base.edges, files), kept).join(edges.select(*key), key, "left_anti").select(*EDGE.names)
-    return CodeGraph(kept, old.unionByName(edges).dropDuplicates(key))
+    return CodeGraph(kept, last_of_each(old.unionByName(edges)))
 
 
 def remove_slice(base: CodeGraph, files: DataFrame) -> CodeGraph:

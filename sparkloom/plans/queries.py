@@ -11,7 +11,7 @@ from ..functions import ids
 from ..operators import cycles, explore, overlay, paths, resolve, tools, traverse
 from ..sources import control, ingest
 from ..streaming import changes
-from . import derive
+from . import derive, storage
 from .derive import table, with_views
 from .graph import CodeGraph, conform, EDGE, NODE
 
@@ -362,9 +362,9 @@ def get_neighbors(graph):
 @graph_query(V + "," + _NEIGHBOURS + """,
 c AS (SELECT count(*) FILTER (side = 'in') AS i, count(*) FILTER (side = 'out') AS o FROM g),
 r AS (SELECT side, id, row_number() OVER (PARTITION BY side ORDER BY id COLLATE en) AS rank FROM g)
-SELECT side, id, cast(rank AS int) AS rank FROM r, c WHERE rank <= CASE side WHEN 'in' THEN least(i, 6 + greatest(0, 5 - o)) ELSE least(o, 5 + greatest(0, 6 - i)) END""")
+SELECT side, id, cast(rank AS int) AS rank FROM r, c WHERE rank <= CASE side WHEN 'in' THEN least(i, 3 + greatest(0, 2 - o)) ELSE least(o, 2 + greatest(0, 3 - i)) END""")
 def neighbors_limit_split(graph):
-    return explore.split_limit(explore.neighbours(graph, hub(graph)), 11).select("side", "id", "rank")
+    return explore.split_limit(explore.neighbours(graph, hub(graph)), 5).select("side", "id", "rank")
 
 
 @graph_query(V + """
@@ -445,11 +445,11 @@ def blast_radius_rollup(graph):
     return traverse.roll_up(traverse.reach(graph, [hub(graph)], reverse=True, max_depth=4)).select("id", "distance", "rolled_up")
 
 
-@graph_query(_bfs_sql(True, None) + " SELECT id, distance, (SELECT count(*) FROM reached) AS total, (SELECT count(*) FROM reached) >= 100 AS truncated FROM reached ORDER BY distance, id LIMIT 100")
+@graph_query(_bfs_sql(True, None) + " SELECT id, distance, (SELECT count(*) FROM reached) AS total, (SELECT count(*) FROM reached) >= 10 AS truncated FROM reached ORDER BY distance, id LIMIT 10")
 def blast_radius_truncated(graph):
     r = traverse.reach(graph, [hub(graph)], reverse=True)
     total = r.count()
-    return r.orderBy("distance", "id").limit(100).select("id", "distance", F.lit(total).alias("total"), F.lit(total >= 100).alias("truncated"))
+    return r.orderBy("distance", "id").limit(10).select("id", "distance", F.lit(total).alias("total"), F.lit(total >= 10).alias("truncated"))
 
 
 # ---- paths
@@ -834,3 +834,19 @@ def resolve_imports(spark, sf_dir):
     base = F.regexp_replace("spec", "/$", "")
     rows = links.select(F.col("page_id").cast("string").alias("path"), F.lit("import").alias("record"), F.xxhash64("spec").alias("seq"), "page_id", "spec", F.array(base, F.concat(base, F.lit("/index.html"))).alias("candidates"))
     return ingest._resolved(rows, listing).select("page_id", "spec", "found")
+
+
+# ---- loops in the cluster, whatever the size
+
+
+def _in_cluster(run):
+    def forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with storage.driver_edges(0):
+            return run(spark, sf_dir)
+
+    return forced
+
+
+for _name in ("dependencies_depth3", "dependencies_paths", "blast_radius", "blast_radius_rollup", "trace_paths_k3", "trace_paths_any", "detect_cycles"):
+    QUERIES[f"{_name}_distributed"] = _in_cluster(QUERIES[_name])
+    ORACLES[f"{_name}_distributed"] = ORACLES[_name]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 #: Graphs up to this many edges are traversed on the driver (tens of MB); larger ones level by level in the cluster.
 DRIVER_EDGES = 300_000
 
+_bound: ContextVar[int | None] = ContextVar("bound", default=None)
+
+
+@contextmanager
+def driver_edges(bound: int) -> Iterator[None]:
+    """Another bound for what is begun inside; 0 keeps all graphs in the cluster."""
+    before = _bound.set(bound)
+    try:
+        yield
+    finally:
+        _bound.reset(before)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or the context's checkpoint folder; a local one only where
@@ -35,10 +50,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, bound: int = DRIVER_EDGES) -> pa.Table | None:
-    """All rows of df if there are at most `bound`, else None."""
-    df = df.persist()
-    try:
-        return df.toArrow() if df.count() <= bound else None
-    finally:
-        df.unpersist()
+def if_small(df: DataFrame, bound: int | None = None) -> pa.Table | None:
+    """All rows of df if there are at most `bound` (else the one of driver_edges, else DRIVER_EDGES), else None. One row
+    more than that is all that is ever read for it."""
+    bound = next(b for b in (bound, _bound.get(), DRIVER_EDGES) if b is not None)
+    if not bound:
+        return None
+    rows = df.limit(bound + 1).toArrow()
+    return rows if rows.num_rows <= bound else None

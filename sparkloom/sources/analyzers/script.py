@@ -33,6 +33,12 @@ def package_name(spec: str) -> str:
     return "/".join(spec.split("/")[: 2 if spec.startswith("@") else 1])
 
 
+_TYPE_BODY, _COLON, _PLAIN = re.compile(r"\s*[=<]"), re.compile(r"\s*:(?!:)"), re.compile(_NAME)
+#: What stands before a name that is used as a type; what begins a new statement on the next line.
+_TYPED = re.compile(r"(?::|\bextends|\bimplements|\btypeof|<|\|)$")
+_NEXT = re.compile(r"\s*(?:export|import|const|let|var|function|class|interface|type|enum|namespace|async|abstract|declare|return|if|for|while)\b")
+
+
 def as_files(base: str) -> list[str]:
     """Files that an import of `base` may mean, in order."""
     stem, ext = re.match(r"(.*?)(\.[mc]?jsx?)?$", base).groups()
@@ -74,8 +80,17 @@ def analyze(path: str, text: str, config: dict) -> Fragment:
     files: dict[str, list[str]] = {}
 
     def starts_statement(at: int) -> bool:
-        before = s.code[:at].rstrip(" \t")
-        return depth[at] == 0 and (not before or before[-1] in "\n;}" or before.endswith("*/"))
+        if depth[at]:
+            return False
+        while at and s.code[at - 1] in " \t":
+            at -= 1
+        return not at or s.code[at - 1] in "\n;}" or s.code.startswith("*/", at - 2)
+
+    def end_before(at: int) -> int:
+        """Where the text before `at` ends, white space left out."""
+        while at and s.code[at - 1].isspace():
+            at -= 1
+        return at
 
     def imported(m: re.Match, type_only: bool, wildcard: bool) -> str:
         spec = m["spec"][1:-1]
@@ -128,7 +143,7 @@ def analyze(path: str, text: str, config: dict) -> Fragment:
                 take(at, at + len(name))
                 out.symbols.append(Symbol(name, kind, *s.place(at), exported, numbered=False))
                 out.exports += [Export(name, name)] if exported else []
-        elif m["name"] and (kind != "type" or re.match(r"\s*[=<]", s.code[m.end() :])):
+        elif m["name"] and (kind != "type" or _TYPE_BODY.match(s.code, m.end())):
             take(m.start("name"), m.end("name"))
             out.symbols.append(Symbol(m["name"], kind, *s.place(m.start()), exported, numbered=False))
             if exported:
@@ -140,13 +155,13 @@ def analyze(path: str, text: str, config: dict) -> Fragment:
     seen = set()
     for m in re.finditer(rf"(?<![\w$.])({_NAME})(?:\s*\.\s*({_NAME}))?", s.code):
         name, member = m[1], m[2]
-        if taken[m.start()] or re.match(r"\s*:(?!:)", s.code[m.end() :]) and re.search(r"[{,]\s*$", s.code[: m.start()]):
+        if taken[m.start()] or _COLON.match(s.code, m.end()) and s.code[max(0, end_before(m.start()) - 1) : end_before(m.start())] in ("{", ","):
             continue
         hit = (namespaces[name], member) if name in namespaces and member else bound[name][:2] if name in bound else None
         if hit and hit not in seen:
             seen.add(hit)
-            before = s.code[: m.start()].rstrip()
-            typed = bool(re.search(r"(?::|\bextends|\bimplements|\btypeof|<|\|)$", before)) or (name in bound and bound[name][2])
+            end = end_before(m.start())
+            typed = bool(_TYPED.search(s.code[max(0, end - 12) : end])) or (name in bound and bound[name][2])
             spec = hit[0]
             package = package_name(spec)
             target = f"ext:{package}" if package in packages and not spec.startswith(".") else None
@@ -162,7 +177,7 @@ def _declarators(s: Source, at: int, depth: list[int]) -> list[tuple[str, int]]:
     while i < len(code):
         c = code[i]
         if expect and not c.isspace():
-            m = re.compile(_NAME).match(code, i)
+            m = _PLAIN.match(code, i)
             if m:
                 out.append((m[0], i))
                 i = m.end()
@@ -174,7 +189,7 @@ def _declarators(s: Source, at: int, depth: list[int]) -> list[tuple[str, int]]:
                 break
             if c == ",":
                 expect = True
-            if c == "\n" and re.match(r"\s*(?:export|import|const|let|var|function|class|interface|type|enum|namespace|async|abstract|declare|return|if|for|while)\b", code[i:]):
+            if c == "\n" and _NEXT.match(code, i):
                 break
         if depth[i] < own:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +17,6 @@ from ..plans.graph import EDGE, NODE, CodeGraph, conform
 from .analyzers import Fragment, cpp, objc, python, rust, script
 
 VERSION = "1"
-#: Re-exports that are followed one after another at most.
-BARRELS = 20
 CACHE_ROWS = 50_000
 
 RECORD = (
@@ -28,9 +26,31 @@ RECORD = (
 _COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
 
 
-def analyzer_of(path: str, text: str):
-    """(group, analyze) for a file, by its extension; a header is Objective-C if its text says so."""
+#: Analyzers that were registered: extension to (group, function), group to function.
+_BY_EXTENSION: dict[str, tuple[str, Callable[[str, str, dict], Fragment]]] = {}
+_BY_GROUP: dict[str, Callable[[str, str, dict], Fragment]] = {}
+
+
+def register(group: str, extensions: tuple[str, ...], function: Callable[[str, str, dict], Fragment]) -> None:
+    """Adds an analyzer for files of these extensions (in any case, with their dot). The last one registered for an
+    extension or a group wins, also over those that are built in. Its configuration is config[group]; it goes to the
+    executors with the job, so it may come from any module that they can import, or from a notebook."""
+    _BY_GROUP[group] = function
+    for e in extensions:
+        _BY_EXTENSION[e.lower()] = (group, function)
+
+
+def registered(group: str) -> Callable[[str, str, dict], Fragment] | None:
+    """The analyzer of a group, built in or registered."""
+    built_in = {"python": python.analyze, "script": script.analyze, "rust": rust.analyze, "objc": objc.analyze, "cpp": cpp.analyze}
+    return _BY_GROUP.get(group) or built_in.get(group)
+
+
+def analyzer_of(path: str, text: str, own: dict | None = None):
+    """(group, analyze) for a file, by its extension; a header is Objective-C if its text says so. own: registered ones."""
     ext = posixpath.splitext(path)[1].lower()
+    if ext in (_BY_EXTENSION if own is None else own):
+        return (_BY_EXTENSION if own is None else own)[ext]
     if ext in python.EXTENSIONS:
         return "python", python.analyze
     if ext in script.EXTENSIONS:
@@ -127,12 +147,13 @@ def analyze(files: DataFrame, config: dict[str, dict]) -> DataFrame:
 
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RECORD.split(", ")])
+    own = dict(_BY_EXTENSION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = analyzer_of(path, text or "") if path else None
+                found = analyzer_of(path, text or "", own) if path else None
                 if found:
                     rows += records(path, found[1](path, text or "", config.get(found[0], {})))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -182,7 +203,8 @@ def follow_exports(wanted: DataFrame, raw: DataFrame, listing: DataFrame) -> Dat
     """wanted (path, seq, file, name) with `dst`: the symbol that file's name stands for, through re-exports.
 
     Each round is one join with the re-exports for the names that are left; a barrel takes one round, however many
-    names pass it."""
+    names pass it. Rounds end when no name is left that hasn't been looked for in its file, so chains may be of any
+    length, and circles end."""
     symbols = raw.where("record = 'symbol'").select(F.col("path").alias("file"), F.col("name").alias("of"), "language").distinct()
     e = _resolved(raw.where("record = 'export'"), listing).select(F.col("path").alias("file"), "name", F.col("specifier").alias("of"), "found", F.size("candidates").alias("n"))
     own = e.where("n = 0").join(symbols.select("file", "of"), ["file", "of"], "left_semi").select("file", "name", "of")
@@ -191,17 +213,19 @@ def follow_exports(wanted: DataFrame, raw: DataFrame, listing: DataFrame) -> Dat
     own = storage.written(own, "exports")
     on = storage.written(e.where("found IS NOT NULL").select("file", "name", "of", "found"), "reexports")
     left, done = storage.written(wanted.select("path", "seq", "file", "name"), "wanted"), None
-    for _ in range(BARRELS):
+    seen = left
+    while not left.isEmpty():
         hit = left.join(own, ["file", "name"]).groupBy("path", "seq").agg(F.min(ids.symbol_id(F.col("file"), F.col("of"))).alias("dst"))
         hit = storage.written(hit, "names")
         done = hit if done is None else done.unionByName(hit)
         left = left.join(hit, ["path", "seq"], "left_anti")
         named = left.join(on, ["file", "name"]).select("path", "seq", F.col("found").alias("to"), F.col("of").alias("name"))
         star = left.where("name <> 'default'").join(on.where("name = '*'").select("file", "found"), "file").select("path", "seq", F.col("found").alias("to"), "name")
-        left = storage.written(named.unionByName(star).select("path", "seq", F.col("to").alias("file"), "name").distinct(), "wanted")
-        if left.isEmpty():
-            break
-    return wanted.join(done, ["path", "seq"])
+        new = named.unionByName(star).select("path", "seq", F.col("to").alias("file"), "name").distinct()
+        left = storage.written(new.join(seen, ["path", "seq", "file", "name"], "left_anti"), "wanted")
+        seen = seen.unionByName(left)
+    none = wanted.select("path", "seq", F.lit(None).cast("string").alias("dst")).limit(0)
+    return wanted.join(none if done is None else done, ["path", "seq"])
 
 
 def reference_edges(raw: DataFrame, listing: DataFrame) -> DataFrame:
@@ -266,24 +290,55 @@ def evict(cache: DataFrame, rows: int = CACHE_ROWS) -> DataFrame:
     return cache.orderBy(F.desc("accessed_at"), "path", "hash").limit(rows)
 
 
-def analyze_cached(files: DataFrame, config: dict[str, dict], folder: str) -> DataFrame:
-    """Records of files, taken from the cache under folder where their text is known there; new ones are added to it."""
-    spark = files.sparkSession
-    keyed = with_key(files)
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table that may not be there yet."""
     try:
-        cache = spark.read.parquet(folder)
-    except Exception as e:  # nothing is cached yet
+        return spark.read.parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        cache = None
-    if cache is None:
-        known, misses = None, keyed
-    else:
-        _, misses = lookup(keyed, cache)
-        known = cache.join(keyed.select("path", "version", "hash"), ["path", "version", "hash"], "left_semi")
-        known = storage.written(known, "cache-hits")
-    fresh = analyze(misses, config).join(misses.select("path", "version", "hash"), "path")
-    fresh = storage.written(fresh, "cache-new")
-    fresh.write.mode("append").parquet(folder)
-    out = fresh if known is None else known.unionByName(fresh)
-    return out.select(*_COLUMNS)
+        return None
+
+
+def used_last(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, version, hash, accessed_at) of the cache under folder: when each key was last put or found."""
+    uses = _table(spark, f"{folder}/_uses")
+    none = spark.createDataFrame([], "path string, version string, hash string, accessed_at timestamp")
+    return (none if uses is None else uses).groupBy(*KEY).agg(F.max("accessed_at").alias("accessed_at"))
+
+
+def trim(spark: SparkSession, folder: str, rows: int = CACHE_ROWS) -> None:
+    """Leaves the `rows` keys that were used last in the cache under folder. Nobody else may use it meanwhile."""
+    keys = storage.written(evict(used_last(spark, folder), rows), "cache-keys")
+    cached = _table(spark, folder)
+    if cached is not None:
+        storage.written(cached.join(keys.select(*KEY), KEY, "left_semi"), "cache-kept").write.mode("overwrite").parquet(folder)
+    # Within the folder, under a name that Spark's readers skip.
+    keys.write.mode("overwrite").parquet(f"{folder}/_uses")
+
+
+KEY = ["path", "version", "hash"]
+
+
+def analyze_cached(files: DataFrame, config: dict[str, dict], folder: str, rows: int = CACHE_ROWS) -> DataFrame:
+    """Records of files, taken from the cache under folder where their text is known there; new ones are put into it.
+
+    Keys that were found or put are the last used ones; when a put leaves more than `rows` keys, those that weren't used
+    for longest go. A key that is put twice is there once."""
+    spark = files.sparkSession
+    keyed = storage.written(with_key(files), "cache-files")
+    cache = _table(spark, folder)
+    misses, known = keyed, None
+    if cache is not None:
+        hits, misses = lookup(keyed, cache)
+        known = storage.written(cache.join(hits.select(*KEY).distinct(), KEY, "left_semi").distinct(), "cache-hits")
+    fresh = analyze(misses, config).join(misses.select(*KEY).distinct(), "path")
+    fresh = storage.written(fresh.distinct(), "cache-new")
+    put = not fresh.isEmpty()
+    if put:
+        fresh.write.mode("append").parquet(folder)
+    found = fresh if known is None else known.unionByName(fresh)
+    found.select(*KEY).distinct().withColumn("accessed_at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/_uses")
+    if put and used_last(spark, folder).limit(rows + 1).count() > rows:
+        trim(spark, folder, rows)
+    return found.select(*_COLUMNS)

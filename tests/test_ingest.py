@@ -173,3 +173,66 @@ def test_cache(spark, root, tmp_path):
     assert hits.count() == 2 and misses.count() == 0
     rows = spark.createDataFrame([(f"p{k}", "h", k) for k in range(5)], "path string, hash string, accessed_at int")
     assert sorted(r.path for r in ingest.evict(rows, 3).collect()) == ["p2", "p3", "p4"]
+
+
+def test_reexports_through_long_chains_and_circles(spark):
+    """A name passes 30 barrels; two barrels that pass on each other end without it."""
+    files = [(f"b{k}.ts", f"export * from './b{k + 1}';") for k in range(30)] + [("b30.ts", "export class Deep {}")]
+    files += [("x.ts", "export * from './y';"), ("y.ts", "export * from './x';")]
+    files += [("main.ts", "import { Deep } from './b0';\nimport { None } from './x';\nnew Deep(); None();\n")]
+    graph = ingest.build(spark.createDataFrame(files, "path string, text string"), {})
+    got = {(r.src, r.dst) for r in graph.edges.where("kind = 'reference'").collect()}
+    assert ("file:main.ts", "sym:b30.ts#Deep") in got and not any("None" in d for _, d in got)
+
+
+def test_long_scripts_take_time_by_their_length():
+    import time
+
+    from sparkloom.sources.analyzers import script
+
+    took = []
+    for n in (3_000, 12_000):
+        text = "import { a } from './m';\n" + "".join(f"export const v{k} = a(x{k}, {{ y{k}: z{k} }});  \n" for k in range(n))
+        at = time.time()
+        assert len(script.analyze("f.ts", text, {}).symbols) == n
+        took.append(time.time() - at)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_registered_analyzers(spark):
+    """The last one wins, for an extension and for a group; it goes to the executors with the job."""
+    from sparkloom.sources.analyzers import Fragment, Symbol
+
+    def first(path, text, config):
+        return Fragment("toy", [Symbol("wrong", "function", 1, 0)])
+
+    def second(path, text, config):
+        return Fragment("toy", [Symbol(f"{config['prefix']}{w}", "function", 1, 0) for w in text.split()])
+
+    try:
+        ingest.register("toy", (".toy",), first)
+        ingest.register("toy", (".TOY", ".ts"), second)
+        assert ingest.registered("toy") is second and ingest.registered("rust").__module__.endswith("rust")
+        files = spark.createDataFrame([("a.toy", "x y"), ("b.ts", "z")], "path string, text string")
+        got = {(r.path, r.name) for r in ingest.analyze(files, {"toy": {"prefix": "p_"}}).where("record = 'symbol'").collect()}
+        assert got == {("a.toy", "p_x"), ("a.toy", "p_y"), ("b.ts", "p_z")}
+    finally:
+        ingest._BY_EXTENSION.clear()
+        ingest._BY_GROUP.clear()
+
+
+def test_cache_keeps_what_was_used_last(spark, tmp_path):
+    """A hit is a use; a put beyond the capacity evicts; a key that is put twice is there once."""
+    folder = str(tmp_path / "cache")
+    run = lambda *names, rows=2: sorted(r.path for r in ingest.analyze_cached(spark.createDataFrame([(n, f"def f_{n[0]}(): pass") for n in names], "path string, text string"), {}, folder, rows).where("record = 'symbol'").collect())
+    keys = lambda: sorted(r.path for r in ingest.used_last(spark, folder).collect())
+    assert run("a.py") == ["a.py"] and run("b.py") == ["b.py"]
+    before = {r.path: r.accessed_at for r in ingest.used_last(spark, folder).collect()}
+    assert run("a.py") == ["a.py"]
+    after = {r.path: r.accessed_at for r in ingest.used_last(spark, folder).collect()}
+    assert after["a.py"] > before["a.py"] and after["b.py"] == before["b.py"]
+    assert run("c.py") == ["c.py"] and keys() == ["a.py", "c.py"]
+    cached = spark.read.parquet(folder)
+    assert sorted(r.path for r in cached.select("path").distinct().collect()) == ["a.py", "c.py"]
+    cached.where("path = 'a.py'").write.mode("append").parquet(folder)
+    assert run("a.py") == ["a.py"] and run("b.py", "c.py", rows=9) == ["b.py", "c.py"] and keys() == ["a.py", "b.py", "c.py"]
