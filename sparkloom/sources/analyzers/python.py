@@ -38,16 +38,75 @@ def _name_place(node: ast.AST) -> tuple[int, int]:
     return node.lineno, node.col_offset + skip
 
 
+_FAULTS = (SyntaxError, ValueError, RecursionError, MemoryError)
+_STRING = re.compile(r"#[^\n]*|(?P<long>\"{3}|'{3})(?:\\.|(?!(?P=long)).)*+(?:(?P=long)|\Z)|\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?", re.S)
+_GOES_ON = re.compile(r"[\s#)\]}]|(?:else|elif|except|finally)\b|\Z")
+_HEADER = re.compile(r"(?:async\s+)?(?P<kind>def|class)\s+(?P<name>\w+)")
+_IMPORTS = re.compile(r"[ \t]*(?:import|from)\s")
+
+
+def _parsed(text: str, line: int, col: int) -> list[ast.stmt]:
+    """The statements of a piece of a file that begins at a place there; none if it can't be parsed."""
+    try:
+        body = ast.parse(text).body
+    except _FAULTS:
+        return []
+    for statement in body:
+        ast.increment_lineno(statement, line - 1)
+        for node in ast.walk(statement) if col else ():
+            if hasattr(node, "col_offset"):
+                node.col_offset += col
+    return body
+
+
+def _tolerant(text: str) -> ast.Module:
+    """The tree of a text with faults: each statement at the left margin stands or falls alone. Of a definition that can't
+    be parsed its name stays, and of any statement its lines that import. Linear in the text."""
+    lines = text.split("\n")
+    quoted, at = set(), 0  # lines that begin inside a string
+    breaks = [0]
+    for n in lines:
+        breaks.append(breaks[-1] + len(n) + 1)
+    for m in _STRING.finditer(text):
+        while breaks[at] <= m.start():
+            at += 1
+        while at < len(lines) and breaks[at] < m.end():
+            quoted.add(at)
+            at += 1
+    starts = [k for k, n in enumerate(lines) if k not in quoted and not _GOES_ON.match(n)]
+    starts = [k for i, k in enumerate(starts) if not (i and lines[starts[i - 1]].startswith("@"))]
+    body: list[ast.stmt] = []
+    for k, end in zip(starts, [*starts[1:], len(lines)], strict=False):
+        if whole := _parsed("\n".join(lines[k:end]), k + 1, 0):
+            body += whole
+            continue
+        head = next((i for i in range(k, end) if i not in quoted and not lines[i].startswith("@")), k)
+        if m := _HEADER.match(lines[head]):
+            body += _parsed(m.group() + ("(): pass" if m["kind"] == "def" else ": pass"), head + 1, 0)
+        i = k
+        while i < end:
+            own = lines[i]
+            indent = len(own) - len(own.lstrip())
+            last = i
+            if i not in quoted and _IMPORTS.match(own):
+                while "(" in own and ")" not in lines[last] and last + 1 < end:
+                    last += 1
+                body += _parsed("\n".join([own.lstrip(), *lines[i + 1 : last + 1]]), i + 1, indent) or _parsed(own.lstrip(), i + 1, indent)
+            i = last + 1
+    return ast.Module(body, [])
+
+
 def analyze(path: str, text: str, config: dict) -> Fragment:
     """config: source_roots, repo-relative folders that absolute imports are looked for in (default: the repo).
 
-    An import of a module that no root has is external, by its first name. Text that doesn't parse has no symbols.
+    An import of a module that no root has is external, by its first name. Of text with faults, or for another version
+    of Python, all statements count that can be parsed.
     """
     out = Fragment("python")
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return out
+    except _FAULTS:
+        tree = _tolerant(text)
     roots = config.get("source_roots") or [""]
     out.symbols = _definitions(tree)
     lines = text.split("\n")

@@ -133,6 +133,45 @@ def test_every_edge_starts_in_the_graph(graph):
     assert all(d in nodes or d.startswith(("unresolved:", "sym:?", "file:<unresolved>")) for _, _, d in edges)
 
 
+FAULTY = '''"""doc
+import not_one
+"""
+import os
+from . import (
+    one,
+    two)
+print "old"
+x = 1
+@deco
+def f(a):
+    import json
+    from .util import (
+        b, c)
+    print "%s" % a
+
+class A(object):
+    pass
+
+class B:
+    def g(self: = 3
+s = """
+import nothing
+def nothing(): pass
+"""
+def last(): return s
+'''
+
+
+def test_python_with_faults():
+    f = python.analyze("d/m.py", FAULTY, {})
+    assert [(s.name, s.kind, s.line, s.col) for s in f.symbols] == [
+        ("x", "variable", 9, 0), ("f", "function", 11, 4), ("A", "class", 17, 6), ("B", "class", 20, 6), ("s", "variable", 22, 0), ("last", "function", 26, 4),
+    ]
+    assert [(i.specifier, i.line, i.col) for i in f.imports] == [("os", 4, 7), (".", 5, 5), ("json", 12, 11), (".util", 13, 9)]
+    whole = FAULTY.replace('print "old"', "pass").replace('print "%s" % a', "pass").replace("(self: = 3", "(self): pass")
+    assert python.analyze("d/m.py", whole, {}).symbols == f.symbols and python.analyze("d/m.py", whole, {}).imports == f.imports
+
+
 @pytest.mark.parametrize("module", [python, script, rust, cpp, objc])
 def test_analyzers_take_anything(module):
     ext = {python: ".py", script: ".ts", rust: ".rs", cpp: ".cpp", objc: ".m"}[module]
