@@ -5,7 +5,8 @@ broadcast). A match at document word ``pos`` and template word ``t`` votes for t
 puts all votes of a template on one diagonal, an inserted or missing word moves the rest to a neighbouring one. Votes are
 bit masks per (document, template, diagonal, 63 template words), so they pre-aggregate and a template may be of any
 length; neighbouring diagonals are merged; a span is verified by the share of the template's k-grams that its diagonals
-hold (all of them, on one diagonal, for the base phrases). All of it is DataFrame code in the JVM.
+hold (all of them, on one diagonal, for the base phrases). A k-gram votes only if its words are the template's, so an
+equal hash alone never counts. All of it is DataFrame code in the JVM.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ _SELF = "xxhash64('a document')"
 
 
 def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str], k: int = K) -> DataFrame:
-    """Rows (gram, tid, tpos, grams, label, exact), one for each template word that begins a k-gram."""
+    """Rows (gram, words, tid, tpos, grams, label, exact), one for each template word that begins a k-gram."""
     rows = [(None, -1, 0, 0, None, True)]
     for tid, (phrase, label, exact) in enumerate([*((p, x, True) for p, x in base.items()), *((p, x, False) for p, x in notices.items())]):
         w = [x.decode() for x in words_of(phrase)]
@@ -37,7 +38,7 @@ def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str]
         rows += [(w[i : i + k], tid, i, len(w) - k + 1, label, exact) for i in range(len(w) - k + 1)]
     t = spark.createDataFrame(rows, "words array<string>, tid int, tpos int, grams int, label string, exact boolean")
     gram = F.expr(f"if(tid < 0, {_SELF}, xxhash64({', '.join(f'get(words, {i})' for i in range(k))}))")
-    return t.select(gram.alias("gram"), "tid", "tpos", "grams", "label", "exact")
+    return t.select(gram.alias("gram"), "words", "tid", "tpos", "grams", "label", "exact")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, k: int = K, near: int = NEAR, share: float = SHARE) -> DataFrame:
@@ -49,15 +50,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: dict
     """
     spark = docs.sparkSession
     words = f"regexp_extract_all(translate(coalesce(t, ''), '{UPPER}', '{LOWER}'), '{WORD}', 0)"
-    gram = f"xxhash64({', '.join(f'get(w, i + {j})' for j in range(k))})"
+    own_words = ", ".join(f"get(w, i + {j})" for j in range(k))
+    gram = f"named_struct('gram', xxhash64({own_words}), 'words', array({own_words}))"
+    itself = f"array(named_struct('gram', {_SELF}, 'words', cast(null as array<string>)))"
     grams = (
-        f"transform(array({words}), w -> named_struct('n', size(w), 'g', concat(array({_SELF}), "
-        f"if(size(w) < {k}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {k}), i -> {gram})))))[0]"
+        f"transform(array({words}), w -> named_struct('n', size(w), 'g', concat({itself}, "
+        f"if(size(w) < {k}, array(), transform(sequence(0, size(w) - {k}), i -> {gram})))))[0]"
     )
     at = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t"))
     at = at.select("doc_id", F.xxhash64("t").alias("h"), F.expr(grams).alias("x"))
-    at = at.select("doc_id", "h", F.col("x.n").alias("n_words"), F.posexplode("x.g").alias("pos", "gram"))
-    found = at.join(F.broadcast(templates(spark, base, notices, k)), "gram")
+    at = at.select("doc_id", "h", F.col("x.n").alias("n_words"), F.posexplode("x.g").alias("pos", "g"))
+    at = at.select("doc_id", "h", "n_words", "pos", "g.gram", "g.words")
+    # By the hash, then word by word.
+    same = F.broadcast(templates(spark, base, notices, k).withColumnRenamed("words", "twords"))
+    found = at.join(same, "gram").where(F.col("words").eqNullSafe(F.col("twords")))
     own = ["doc_id", "h", "n_words"]
     diagonal = F.when(F.col("tid") < 0, F.lit(0)).otherwise(F.col("pos") - 1 - F.col("tpos"))
     template = ["tid", "grams", "label", "exact"]

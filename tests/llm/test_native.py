@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from sparkloom.llm import license_scan as L
 from sparkloom.llm import line_dedup as D
 from sparkloom.llm import mixing as M
@@ -232,6 +233,16 @@ def test_license_texts_of_any_length(spark):
     assert "bsd-3-clause-text" not in out[3].labels.split(",") and out[4].labels == "long"
 
 
+def test_license_scan_compares_words(spark, monkeypatch):
+    """Templates whose hashes are those of other words get no votes."""
+    own = L.templates
+    data = rows(spark, [(0, "all rights reserved", "en", "s")])
+    assert L.scan(data).first().n_base == 1
+    monkeypatch.setattr(L, "templates", lambda *a: own(*a).withColumn("words", F.when(F.col("tid") >= 0, F.expr("transform(words, w -> concat(w, 'x'))"))))
+    out = L.scan(data).first()
+    assert (out.n_words, out.n_base, out.labels, out.score) == (3, 0, "", 0)
+
+
 def sharding_rows():
     data = [(k, t, ["en", "de", None][k % 3], f"src{k % 20 if k % 3 else 0}") for k, t in enumerate(texts(3000, 8))]
     return data + [(5000 + k, "a large group " * 20, "en", "src1") for k in range(1200)] + [(9000, None, None, None), (None, "x", "en", "s"), (9001, "twice", "en", "s"), (9001, "twice", "en", "s"), (9002, "w " * 9000, "en", "s")]
