@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLE_SIZE = 20_000
-#: About how many rows, drawn from the whole table, fill the table of frequent pre-tokens with their first characters. A
-#: bound on what warms the cache, on nothing else.
-WARM_ROWS, WARM_CHARS = 400, 20_000
+#: Entries of the broadcast table, and the longest pre-token in it: together they bound what is broadcast.
+TABLE_SIZE, TABLE_CHARS = 20_000, 64
+#: The share of the table's rows, drawn by a seed, whose whole texts tell which pre-tokens are frequent.
+DRAWN = 0.01
 CACHE_SIZE = 300_000
 SLICE_CHARS = 3_000_000
 
@@ -47,17 +47,34 @@ def _encoded(tok, texts: list[str]) -> list[int]:
     return [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def frequent(docs: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """Lengths of the pre-tokens that are frequent in rows drawn from all over the table; at most table_size."""
-    seen: Counter[str] = Counter()
-    drawn = docs.select(text).sample(min(1.0, WARM_ROWS / max(1, docs.count())), seed=1)
-    for (t,) in drawn.select(F.substring(text, 1, WARM_CHARS)).collect():
-        if t and not _OTHER.search(t):
-            seen.update(_PRE_TOKEN.findall(t.lower()))
-    words = [w for w, _ in seen.most_common(table_size)]
+def frequent(docs: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE, drawn: float = DRAWN) -> dict[str, int]:
+    """Lengths of the table_size most frequent pre-tokens of the drawn rows, ties by code points.
+
+    A task counts its rows' pre-tokens and sends each distinct one once; only the sums' head comes to the driver.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for t in b.column(0):
+                if (t := t.as_py()) and not _OTHER.search(t):
+                    seen.update(_PRE_TOKEN.findall(t.lower()))
+            if len(seen) > CACHE_SIZE:
+                yield _tally(seen)
+                seen.clear()
+        yield _tally(seen)
+
+    sums = docs.select(docs[text]).sample(drawn, seed=1).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # A pre-token is a run of letters of any length; what is broadcast holds words, no longer ones.
+    head = sums.where(f"length(word) <= {TABLE_CHARS}").orderBy(F.desc("n"), "word").limit(table_size)
+    words = [w for w, _ in head.collect()]
     return dict(zip(words, _encoded(tokenizer(path), words), strict=True)) if words else {}
 
 
+def _tally(seen: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+
 def _counter(path: str, table: dict[str, int], cache_size: int) -> Callable[[list[str | None]], list[int]]:
     """Counts for a slice of texts, with the lengths that this worker keeps."""
     import os

@@ -41,6 +41,15 @@ def test_frequent_words_of_all_sources(spark):
     assert {"alpha", "beta", "gamma", "delta"} <= set(C.frequent(df, "text", P.path("word_bpe_49k.json")))
 
 
+def test_what_the_table_holds(spark):
+    """The most frequent ones by counts over all partitions, none of any length."""
+    rows = [(f"{'z' * 70} common common often w{k} {'often' if k % 2 else 'seldom'}",) for k in range(400)]
+    df = spark.createDataFrame(rows, "text string").repartition(5)
+    path = P.path("word_bpe_49k.json")
+    assert list(C.frequent(df, "text", path, table_size=3, drawn=1.0)) == ["common", "often", "w"]
+    assert "z" * 70 not in C.frequent(df, "text", path, drawn=1.0)
+
+
 def test_query(spark, sf_small):
     t = C.tokenizer(P.path("word_bpe_49k.json"))
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
