@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, stored
+
 #: Entries of the broadcast table, and the longest pre-token in it: together they bound what is broadcast.
 TABLE_SIZE, TABLE_CHARS = 20_000, 64
 #: The share of the table's rows, drawn by a seed, whose whole texts tell which pre-tokens are frequent.
@@ -48,9 +50,10 @@ def _encoded(tok, texts: list[str]) -> list[int]:
 
 
 def frequent(docs: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE, drawn: float = DRAWN) -> dict[str, int]:
-    """Lengths of the table_size most frequent pre-tokens of the drawn rows, ties by code points.
+    """Lengths of the most frequent pre-tokens of the drawn rows, at most table_size of them.
 
-    A task counts its rows' pre-tokens and sends each distinct one once; only the sums' head comes to the driver.
+    A task counts its rows' pre-tokens and sends each distinct one once. How many there are of each frequency (in steps
+    of a sixteenth of a doubling) tells from which on all fit; these alone come to the driver.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +69,15 @@ def frequent(docs: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE
 
     sums = docs.select(docs[text]).sample(drawn, seed=1).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # A pre-token is a run of letters of any length; what is broadcast holds words, no longer ones.
-    head = sums.where(f"length(word) <= {TABLE_CHARS}").orderBy(F.desc("n"), "word").limit(table_size)
-    words = [w for w, _ in head.collect()]
+    sums = stored(sums.where(f"length(word) <= {TABLE_CHARS}").withColumn("step", F.expr("cast(16 * log2(n) as int)")), "frequent")
+    least, total = None, 0
+    for step, k in sums.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += k
+        if total > table_size:
+            break
+        least = step
+    words = [] if least is None else [w for w, in sums.where(F.col("step") >= least).select("word").collect()]
+    discard(sums)
     return dict(zip(words, _encoded(tokenizer(path), words), strict=True)) if words else {}
 
 
