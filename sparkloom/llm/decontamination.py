@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words_of
+from .common import lean, words_of
 from .token_counts import sliced
 
 WINDOW = 13
 BLOCK_WORDS = 400_000
-SHARD_CHARS = 6_000_000
+SHARD_CHARS = 3_000_000
 
 
 class Block:
@@ -219,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                         items.append(sorted(names.union(named)))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["row", "text", "n_words", "hit", "items"])
 
-        out = out.mapInArrow(passed, schema)
+        out = out.mapInArrow(lean(passed), schema)
     if not any_block:
         out = out.withColumn("n_words", F.expr(rf"regexp_count(coalesce({f'row.`{text}`' if inside else 'text'}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')").cast("long"))
     return out.drop("text")
@@ -267,7 +267,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                             names=["item_id", "item_start", "length", "doc_id", "doc_start"],
                         )
 
-        out = out.unionByName(docs.mapInArrow(matched, schema))
+        out = out.unionByName(docs.mapInArrow(lean(matched), schema))
     best = F.max(F.struct("length", (-F.col("doc_id")).alias("d"), (-F.col("doc_start")).alias("s"))).alias("b")
     return out.groupBy("item_id", "item_start").agg(best).select("item_id", "item_start", "b.length", (-F.col("b.d")).alias("doc_id"), (-F.col("b.s")).alias("doc_start"))
 

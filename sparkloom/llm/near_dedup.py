@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dart_minhash as M
-from .common import discard, grouped, stored, table, trace, traced
+from .common import discard, grouped, lean, stored, table, trace, traced
 from .token_counts import sliced
 
 THRESHOLD = 0.8
@@ -77,7 +77,7 @@ def _signed(rows: DataFrame) -> DataFrame:
                         names=["t", "node", "n", "keys", "sketch"],
                     ).filter(some)
 
-    return rows.mapInArrow(sign, "t long, node long, n int, keys array<long>, sketch binary")
+    return rows.mapInArrow(lean(sign), "t long, node long, n int, keys array<long>, sketch binary")
 
 
 def both_sketches(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     n = grouped(pairs, pairs.count(), PAIRS)
-    return rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(compare, "a long, b long")
+    return rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(lean(compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(texts_)) for i in (0, 2)), pa.array(own, pa.binary())], names=["node", "sketch", "shingles"])
                 at += len(texts_)
 
-    return texts.select("node", "text", "sketch").mapInArrow(pack, "node long, sketch binary, shingles binary")
+    return texts.select("node", "text", "sketch").mapInArrow(lean(pack), "node long, sketch binary, shingles binary")
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +250,7 @@ def _blocks(members: DataFrame, roots: DataFrame, texts: DataFrame, threshold: f
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     n = grouped(m, mixed_members.count(), PAIRS)
-    out = stored(m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct(), "near-rest")
+    out = stored(m.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(compare), "a long, b long").distinct(), "near-rest")
     discard(opened, mixed_members, sets)
     return out
 

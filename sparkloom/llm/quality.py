@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table, words_of
+from .common import discard, lean, stored, table, words_of
 from .token_counts import sliced
 
 #: Bounds of the labelled sample, of the words that a flaw's text view knows, and documents a word stands in at least.
@@ -254,7 +254,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vocabulary(sample: DataFrame, words: int) -> list[str]:
     """Features that flawed documents have more often, by the likelihood ratio in nats times documents."""
-    s = stored(sample.select("text", *FLAWS).mapInArrow(_seen, "words array<string>, junk int, toxic int"), "quality-words")
+    s = stored(sample.select("text", *FLAWS).mapInArrow(lean(_seen), "words array<string>, junk int, toxic int"), "quality-words")
     chosen: set[str] = set()
     by_word = s.select(F.explode("words").alias("word"), *FLAWS)
     for flaw in FLAWS:
@@ -295,7 +295,7 @@ def _viewed(rows: DataFrame, vocabulary: list[str], names: list[str]) -> DataFra
                 ], names=[*names, "at", "dense", "looks", "meta"])
 
     own = rows.select("text", F.col("lang").cast("string"), F.col("source").cast("string"), *names)
-    return own.mapInArrow(view, f"{kinds}, {VIEWS}")
+    return own.mapInArrow(lean(view), f"{kinds}, {VIEWS}")
 
 
 def _views_of(b: pa.RecordBatch, wide: int, center: np.ndarray, scale: np.ndarray) -> list[np.ndarray]:
@@ -321,7 +321,7 @@ def _in_one_task(rows: DataFrame, work) -> object:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(whole[0]))])], names=["out"])
 
     # Sorted, as a sum's last bits depend on the order.
-    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "out binary").collect()
+    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(lean(run), "out binary").collect()
     return pickle.loads(got[0].out) if got else None
 
 
@@ -387,7 +387,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, words: i
             return out
 
         sums = _in_one_task(known, held_part)
-        added = pool.mapInArrow(add, "flaw string, what string, learner long, i long, v double").groupBy("flaw", "what", "learner", "i").agg(F.sum("v").alias("v"))
+        added = pool.mapInArrow(lean(add), "flaw string, what string, learner long, i long, v double").groupBy("flaw", "what", "learner", "i").agg(F.sum("v").alias("v"))
         for r in added.collect():  # a few thousand numbers
             sums[r.flaw][r.what, r.learner][r.i] += r.v
         new = {f: step(w[f], hessian[f], sums[f], sure) for f in flaws}
@@ -433,7 +433,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sizes: i
                 views = [model.text_rows(texts), np.stack([meta_row(x, s, t) for x, s, t in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(model.probabilities(f, views)) for f in FLAWS)], names=["row", "p_junk", "p_toxic"])
 
-    out = rows.mapInArrow(scored, StructType([rows.schema["row"], StructField("p_junk", DoubleType()), StructField("p_toxic", DoubleType())]))
+    out = rows.mapInArrow(lean(scored), StructType([rows.schema["row"], StructField("p_junk", DoubleType()), StructField("p_toxic", DoubleType())]))
     return out.withColumn("keep", F.greatest("p_junk", "p_toxic") < threshold)
 
 

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, lean, stored
 
 #: Entries of the broadcast table, and the longest pre-token in it: together they bound what is broadcast.
 TABLE_SIZE, TABLE_CHARS = 20_000, 64
 #: The share of the table's rows, drawn by a seed, whose whole texts tell which pre-tokens are frequent.
 DRAWN = 0.01
 CACHE_SIZE = 300_000
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
 
 #: Fixed value: the tokenizer's own pattern, for the characters that pass _OTHER.
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -67,7 +67,7 @@ def frequent(docs: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE
                 seen.clear()
         yield _tally(seen)
 
-    sums = docs.select(docs[text]).sample(drawn, seed=1).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = docs.select(docs[text]).sample(drawn, seed=1).mapInArrow(lean(counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # A pre-token is a run of letters of any length; what is broadcast holds words, no longer ones.
     sums = stored(sums.where(f"length(word) <= {TABLE_CHARS}").withColumn("step", F.expr("cast(16 * log2(n) as int)")), "frequent")
     least, total = None, 0
@@ -152,7 +152,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", into: str = "n_
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    out = rows.mapInArrow(count, StructType([rows.schema["row"], StructField("n", LongType())]))
+    out = rows.mapInArrow(lean(count), StructType([rows.schema["row"], StructField("n", LongType())]))
     return out.select("row.*", F.col("n").alias(into))
 
 
