@@ -150,12 +150,16 @@ def analyze(files: DataFrame, config: dict[str, dict]) -> DataFrame:
     own = dict(_BY_EXTENSION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scripts = None
         for b in batches:
             rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = analyzer_of(path, text or "", own) if path else None
                 if found:
-                    rows += records(path, found[1](path, text or "", config.get(found[0], {})))
+                    given = config.get(found[0], {})
+                    if found == ("script", script.analyze):
+                        given = scripts = scripts or script.prepared(given)
+                    rows += records(path, found[1](path, text or "", given))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "text").mapInArrow(run, RECORD)

@@ -238,6 +238,24 @@ def test_long_scripts_take_time_by_their_length():
     assert took[1] < 8 * took[0] + 0.5
 
 
+def test_packages_are_gone_through_once_a_task(spark):
+    """Not once a file: a project may name as many packages as it has files."""
+
+    class Once:
+        seen = 0
+
+        def __iter__(self):
+            self.seen += 1
+            assert self.seen == 1
+            return iter(["@lib/a"])
+
+    files = spark.createDataFrame([(f"f{k}.ts", "import x from '@lib/a/sub';\nimport y from 'other';") for k in range(3)], "path string, text string").coalesce(1)
+    got = ingest.analyze(files, {"script": {"packages": Once()}}).where("record = 'import'").collect()
+    assert sorted((r.otherwise, r.resolution) for r in got) == [("ext:@lib/a", "resolved")] * 3 + [("ext:other", "unresolved")] * 3
+    text = "import x from '@lib/a/sub';"
+    assert script.analyze("f.ts", text, {"packages": ["@lib/a"]}) == script.analyze("f.ts", text, script.prepared({"packages": ["@lib/a"]}))
+
+
 def test_registered_analyzers(spark):
     """The last one wins, for an extension and for a group; it goes to the executors with the job."""
     from sparkloom.sources.analyzers import Fragment, Symbol
