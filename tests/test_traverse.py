@@ -31,6 +31,28 @@ def test_deep_chain_many_levels(spark, way):
     assert reached(traverse.reach(g, ["file:c00"])) == {f"file:c{k:02}": k for k in range(1, n + 1)}
 
 
+def test_blast_radius_is_whole_beyond_sixty_hops(spark, tmp_path):
+    """The query's SQL follows walks of up to 60 hops, the query all there are: part k's file is 65 - k hops from the hub."""
+    from sparkloom.plans.queries import QUERIES
+
+    n = 65
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    steps = [(k, k + 1) for k in range(n)] + [(n + 1, n)]  # two point to part n: the hub
+    lines = [(o, p, 0, i, 45.0, 1.0, 0.0, 0.0, "N", None) for o, step in enumerate(steps) for i, p in enumerate(step)]
+    tables = {
+        "part": spark.createDataFrame([(k, "Brand#1", 1) for k in range(n + 2)], "p_partkey long, p_brand string, p_size int"),
+        "lineitem": spark.createDataFrame(lines, columns),
+        "supplier": spark.createDataFrame([(0, 0)], "s_suppkey long, s_nationkey int"),
+        "nation": spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string"),
+    }
+    for name, rows in tables.items():
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.id: r.distance for r in QUERIES["blast_radius"](spark, str(tmp_path)).collect()}
+    assert got == {f"file:Brand-1/p{k}.src": n - k for k in range(n)} | {f"file:Brand-1/p{n + 1}.src": 1}
+    cut = QUERIES["blast_radius_truncated"](spark, str(tmp_path)).collect()
+    assert {(r.total, r.truncated) for r in cut} == {(n + 1, True)} and len(cut) == 10
+
+
 def test_paths_go_through_the_least_parent(spark, way):
     g = G.build(spark, G.files([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "a")]))
     got = {r.id: r.path for r in traverse.reach(g, ["file:a"], paths=True).collect()}
